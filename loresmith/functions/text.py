@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loresmith import vocab
 
 # --- fixed values: patterns ------------------------------------------------------------------------------------------
-INVISIBLE = "[​-‏‪-‮﻿]"
+INVISIBLE = "[\u200b-\u200f\u202a-\u202e\ufeff]"
 MENTION = "<@[A-Z0-9]+>"
 CHANNEL = r"<#[A-Z0-9]+\|([^>]+)>"
 LINK = r"<(https?://[^|>]+)\|([^>]+)>"
@@ -21,7 +21,7 @@ LINE_BREAK = "\r\n|\n|\r"
 EDGE_SPACE = r"^\s+|\s+$"
 BOT_MENTION = r"<@([UW][A-Z0-9]+)(\|[^>]*)?>"
 DEBUG_FLAG = r"(?i)(^|\s)--debug\b"
-WIDE_SPACES = "[     ​]"
+WIDE_SPACES = "[\u00a0\u2007\u202f\u2009\u200a\u200b]"
 HEADING_LINE = r"^\s{0,3}#{1,6}\s+(.*?)\s*$"
 EMPHASIS_LINE = r"^[\*_]{1,2}[^*_]+[\*_]{1,2}\s*:?\s*$"
 OMITTED = "\n\n... (중략, 원본은 길어서 일부만 전달) ...\n\n"
@@ -105,7 +105,7 @@ def squeeze(text: Column) -> Column:
 def clean_question(text: Column, max_chars: int) -> Column:
     """struct(question, debug): mentions, leading marks, informal prefix and flag removed, then clipped."""
     s = F.regexp_replace(F.coalesce(text, F.lit("")), BOT_MENTION, " ")
-    s = strip(F.regexp_replace(s, "​", ""))
+    s = strip(F.regexp_replace(s, "\u200b", ""))
     s = squeeze(F.regexp_replace(s, r"^[\s,.:;>]+", ""))
     called = F.coalesce(*[F.when(F.startswith(F.lower(s), F.lit(p)), len(p)) for p in vocab.INFORMAL_PREFIXES])
     rest = F.regexp_replace(F.substring(s, called + 1, F.length(s)), r"^[ ,.:;>]+", "")

@@ -115,6 +115,8 @@ def expand_children(candidates: DataFrame, chunks: DataFrame, cfg: RetrievalConf
                 "score": F.greatest(F.lit(0.0), F.col("parent_score") * cfg.child_score_ratio),
                 "source_weight": F.coalesce("source_weight", "parent_weight"),
                 "is_child": F.lit(True),
+                "is_card": is_card(F.col("content_type"), F.col("source_type")),
+                "topic_mismatch_demoted": F.lit(False),
             }
         )
         .drop("parent_rank", "parent_final", "parent_score", "parent_weight", "parent_sheet", "child_no")
