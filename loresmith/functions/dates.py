@@ -37,7 +37,7 @@ def find_date(text: Column, default_year: int) -> Column:
         _yearless(text, MONTH_DAY_KOREAN, default_year),
         _yearless(text, MONTH_DAY, default_year),
     )
-    return F.coalesce(*[F.when(f["d"].isNotNull(), f) for f in forms])
+    return F.get(F.filter(F.array(*forms), lambda f: f["d"].isNotNull()), F.lit(0))
 
 
 def head_lines(text: Column, n: int = 20) -> Column:
@@ -46,13 +46,18 @@ def head_lines(text: Column, n: int = 20) -> Column:
 
 def document_date(file_name: Column, content: Column, default_year: int) -> Column:
     """struct(document_date, date_text, date_source): the name first, then the first 20 lines."""
-    named = find_date(file_name, default_year)
-    titled = find_date(head_lines(content), default_year)
-    return F.struct(
-        F.coalesce(named["d"], titled["d"]).alias("document_date"),
-        F.coalesce(named["t"], titled["t"]).alias("date_text"),
-        F.when(named["d"].isNotNull(), "file_name")
-        .when(titled["d"].isNotNull(), "content_title")
-        .otherwise("unknown")
-        .alias("date_source"),
+    places = ((find_date(file_name, default_year), "file_name"), (find_date(head_lines(content), default_year), "content_title"))
+    found = F.filter(
+        F.array(*[F.struct(f.alias("f"), F.lit(where).alias("w")) for f, where in places]),
+        lambda x: x["f"]["d"].isNotNull(),
     )
+    none = F.struct(
+        F.struct(F.lit(None).cast("date").alias("d"), F.lit(None).cast("string").alias("t")).alias("f"),
+        F.lit("unknown").alias("w"),
+    )
+    return F.transform(
+        F.slice(F.concat(found, F.array(none)), 1, 1),
+        lambda x: F.struct(
+            x["f"]["d"].alias("document_date"), x["f"]["t"].alias("date_text"), x["w"].alias("date_source")
+        ),
+    )[0]
