@@ -407,7 +407,8 @@ SQL_HARD = """pieces AS (
     f"WITH {SQL_HARD} SELECT doc_id, piece_no, length(piece) AS n, sha256(piece) AS sha FROM pieces WHERE regexp_matches(piece, '\\S')",
 )
 def c1_hard_split(spark, sf):
-    d = docs(spark, sf, "text").select("doc_id", F.posexplode(chunking.hard_split(F.col("text"), 1200, 200)).alias("piece_no", "p"))
+    d = docs(spark, sf, "text").select("doc_id", F.posexplode_outer(chunking.hard_split(F.col("text"), 1200, 200)).alias("piece_no", "p"))
+    d = d.where(F.col("p").isNotNull())
     return d.select("doc_id", F.col("piece_no").cast("long"), F.length("p").alias("n"), F.sha2("p", 256).alias("sha"))
 
 
@@ -450,7 +451,7 @@ SQL_LINE_CHUNKS = SQL_LINE_CHUNKS.replace("n_text_ok(piece)", "regexp_matches(pi
 @REG.add("c2_line_chunks", SQL_LINE_CHUNKS)
 def c2_line_chunks(spark, sf):
     d = docs(spark, sf, "text").select("doc_id", chunking.line_chunks(F.col("text")).alias("pieces"))
-    d = d.select("doc_id", F.posexplode("pieces").alias("piece_no", "p"))
+    d = d.select("doc_id", F.posexplode_outer("pieces").alias("piece_no", "p")).where(F.col("p").isNotNull())
     return d.select("doc_id", F.col("piece_no").cast("long"), F.length("p").alias("n"), F.sha2("p", 256).alias("sha"))
 
 
@@ -514,8 +515,8 @@ def c4_context_header(spark, sf):
 def c5_chunk_id(spark, sf):
     d = docs(spark, sf, "text").select(
         "doc_id", hashing.make_document_id(hashing.file_fingerprint(F.col("text"))).alias("document_id"),
-        F.posexplode(chunking.hard_split(F.col("text"), 1200, 200)).alias("piece_no", "p"),
-    )
+        F.posexplode_outer(chunking.hard_split(F.col("text"), 1200, 200)).alias("piece_no", "p"),
+    ).where(F.col("p").isNotNull())
     return d.select(
         "doc_id", F.col("piece_no").cast("long"), hashing.chunk_id(F.col("document_id"), F.col("piece_no"), F.col("p")).alias("chunk_id"),
         hashing.text_hash(F.col("p")).alias("chunk_hash"),
