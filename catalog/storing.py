@@ -310,13 +310,19 @@ def g7_store_stats(spark, sf):
     )
 
 
+def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a file stream."""
+    reader = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf)
+
+
 # --- streams --------------------------------------------------------------------------------------------------------------
 @REG.add("x1_incremental_ingest")
 def x1_incremental_ingest(spark, sf):
     """All document files as a stream, then the same folder again: nothing is added the second time."""
     root, target = file_tree(spark, sf), scratch_dir(spark, "kb")
     for run in ("first", "again"):
-        streams.incremental_ingest(spark, root, target, scratch_dir(spark, f"cp-{run}"), 2024, FOLDERS, 8).awaitTermination()
+        streams.incremental_ingest(spark, root, target, scratch_dir(spark, f"cp-{run}"), 2024, FOLDERS).awaitTermination()
     log = spark.read.parquet(f"{target}/log").groupBy("status").agg(F.count("*").alias("files"), F.sum("chunks_added").alias("chunks"))
     stored = spark.read.parquet(f"{target}/chunks").agg(F.count("*").alias("stored"), F.count_distinct("chunk_id").alias("distinct_ids"))
     return log.join(stored)  # one row
@@ -336,8 +342,7 @@ SELECT query_id, chunk_id, bm25_rank, round(bm25_score, 6) AS bm25_score FROM bm
 def x2_question_stream(spark, sf):
     """User turns arrive as a stream and are answered from a stored index."""
     index = keyword.build_index(table(spark, sf, "documents"))
-    source = f"{sf}/conversations.parquet"
-    turns = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    turns = stream_of(spark, sf, "conversations")
     requests = turns.where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").cast("string").alias("user"), "text"
     )
@@ -358,9 +363,7 @@ def x2_question_stream(spark, sf):
 )
 def x3_usage_stream(spark, sf):
     """Hourly figures of all events; a window comes out when the watermark (one hour) has passed it."""
-    source = f"{sf}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    events = events.select("ts", F.col("event_type").alias("kind"), "value")
+    events = stream_of(spark, sf, "events").select("ts", F.col("event_type").alias("kind"), "value")
     path = scratch_dir(spark, "usage")
     streams.usage_stream(events, path, scratch_dir(spark, "cp")).awaitTermination()
     out = spark.read.schema("w struct<start: timestamp, end: timestamp>, kind string, calls long, total double").parquet(path)
