@@ -316,8 +316,8 @@ expanded AS (
 
 SQL_THRESHOLD = """placed AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, chunk_id) AS rank_k3,
-         CASE WHEN score < 0.35 THEN printf('similarity(%.3f) < min_similarity(0.35)', score)
-              WHEN final_score < 0.30 THEN printf('final_score(%.3f) < min_final(0.30)', final_score) END AS reason
+         CASE WHEN score < 0.35 THEN printf('similarity(%.3f) < min_similarity(0.35)', floor(score * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE)
+              WHEN final_score < 0.30 THEN printf('final_score(%.3f) < min_final(0.30)', floor(final_score * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE) END AS reason
   FROM expanded),
 capped AS (
   SELECT *, CASE WHEN reason IS NULL AND sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END)
@@ -332,7 +332,7 @@ SQL_DIVERSITY = """counted AS (
                             ORDER BY rank_k3) - 1 AS ns
   FROM capped),
 damped AS (
-  SELECT * REPLACE (CASE WHEN passed THEN final_score * (0.7::DOUBLE + 0.3::DOUBLE
+  SELECT * REPLACE (CASE WHEN passed THEN final_score * (0.7::DOUBLE + (1.0::DOUBLE - 0.7::DOUBLE)
                            * pow(0.7::DOUBLE, nf) * pow(0.9::DOUBLE, ns)) ELSE final_score END AS final_score),
          CASE WHEN passed THEN pow(0.7::DOUBLE, nf) * pow(0.9::DOUBLE, ns) END AS diversity_bonus
   FROM counted),
@@ -660,18 +660,18 @@ blocks AS (
       || '- topic_tags: [' || array_to_string(['''' || t || '''' for t in topic_tags], ', ') || ']' || chr(10)
       || '- task_type: -' || chr(10) || '- answer_use_cases: -' || chr(10) || '- source_file_name: ' || file_name || chr(10)
       || '- source_category: ' || uploaded_category || chr(10) || '- display_date: ' || display_date || chr(10)
-      || '- final_score: ' || printf('%.4f', final_score) || chr(10) || '- parent_raw_chunk_ids: []' || chr(10)
+      || '- final_score: ' || printf('%.4f', floor(final_score * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE) || chr(10) || '- parent_raw_chunk_ids: []' || chr(10)
     WHEN 'plain' THEN '[근거 #' || block_no || ']' || chr(10) || '- file_name: ' || file_name || chr(10)
       || '- uploaded_category: ' || uploaded_category || chr(10) || '- source_type: ' || source_type || chr(10)
       || '- content_type: ' || content_type || chr(10) || '- section_title: ' || section_title || chr(10)
       || '- display_date: ' || display_date || chr(10) || '- primary_topic: ' || coalesce(primary_topic, '-') || chr(10)
       || '- todo_phase: -' || chr(10) || '- parser_format: -' || chr(10) || '- chunk_index: ' || chunk_index || chr(10)
-      || '- final_score: ' || printf('%.4f', final_score) || chr(10)
+      || '- final_score: ' || printf('%.4f', floor(final_score * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE) || chr(10)
     ELSE '[RAW #' || block_no || ']' || chr(10) || '- file_name: ' || file_name || chr(10)
       || '- uploaded_category: ' || uploaded_category || chr(10) || '- source_type: ' || source_type || chr(10)
       || '- content_type: ' || content_type || chr(10) || '- section_title: ' || section_title || chr(10)
       || '- display_date: ' || display_date || chr(10) || '- chunk_index: ' || chunk_index || chr(10)
-      || '- final_score: ' || printf('%.4f', final_score) || chr(10)
+      || '- final_score: ' || printf('%.4f', floor(final_score * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE) || chr(10)
     END || '---' || chr(10) || cut || chr(10) AS block
   FROM texts),
 packed AS (

@@ -68,7 +68,7 @@ SQL_BENCH = "bench AS (SELECT item_id AS query_id, text AS question FROM benchma
 SQL_VECTOR = """vector AS (
   SELECT * FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS chunk_id,
-           list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS vector_score,
+           round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS vector_score,
            row_number() OVER (PARTITION BY q.vec_id ORDER BY
              round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS vector_rank
     FROM embeddings q SEMI JOIN benchmark b ON q.vec_id = b.item_id, embeddings v)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,3 +33,8 @@ def matching_tags(text: Column, dictionary: Mapping[str, Sequence[str]]) -> Colu
 def first_tag(text: Column, dictionary: Mapping[str, Sequence[str]]) -> Column:
     """First tag of the dictionary that occurs in the text, or null."""
     return F.coalesce(*[F.when(mentions_any(text, ws), F.lit(tag)) for tag, ws in dictionary.items()])
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]

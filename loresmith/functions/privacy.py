@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loresmith import vocab
 from loresmith.config import PRIVACY, PrivacyPolicy
-from loresmith.functions.lookup import lookup
+from loresmith.functions.lookup import let, lookup
 
 # --- fixed values: patterns ------------------------------------------------------------------------------------------
 NAME_TEAM = r"([가-힣]{2,4})\[([^\[\]]{1,30})\]"
@@ -79,18 +79,21 @@ def role_label(role: Column, number: Column) -> Column:
 
 def pseudonymize_speakers(text: Column, policy: PrivacyPolicy = PRIVACY) -> Column:
     """Each ``name[team]`` becomes a label; the same name keeps the same letter, in order of first appearance."""
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(NAME_TEAM), 1))
-    people = F.filter(names, lambda n: speaker_role(n, policy) == "participant")
 
-    def replace_one(acc: Column, name: Column) -> Column:
-        # The grammar takes the last two to four syllables before the bracket, so a shorter name has none before it.
-        guard = F.when(F.length(name) < 4, F.lit("(?<![가-힣])")).otherwise(F.lit(""))
-        number = (F.array_position(people, name) - 1).cast("int")
-        return F.regexp_replace(
-            acc, F.concat(guard, name, F.lit(r"\[[^\[\]]{1,30}\]")), role_label(speaker_role(name, policy), number)
-        )
+    def replace_all(given: Column) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(given, F.lit(NAME_TEAM), 1))
+        people = F.filter(names, lambda n: speaker_role(n, policy) == "participant")
 
-    return F.when(text.rlike(NAME_TEAM), F.aggregate(names, text, replace_one)).otherwise(text)
+        def replace_one(acc: Column, name: Column) -> Column:
+            # The grammar takes the last two to four syllables before the bracket: a shorter name has none before it.
+            guard = F.when(F.length(name) < 4, F.lit("(?<![가-힣])")).otherwise(F.lit(""))
+            number = (F.array_position(people, name) - 1).cast("int")
+            pattern = F.concat(guard, name, F.lit(r"\[[^\[\]]{1,30}\]"))
+            return F.regexp_replace(acc, pattern, role_label(speaker_role(name, policy), number))
+
+        return F.when(given.rlike(NAME_TEAM), F.aggregate(names, given, replace_one)).otherwise(given)
+
+    return let(text, replace_all)
 
 
 def time_bucket(time: Column) -> Column:
@@ -142,11 +145,16 @@ def _inline_pattern(hours: tuple) -> str:
 
 
 def generalize_times(text: Column) -> Column:
-    """Clock times become ``[label]``: one pass per bucket, first the bracketed ones."""
-    for build in (_bracket_pattern, _inline_pattern):
-        for bucket, hours in BUCKET_HOURS.items():
-            text = F.regexp_replace(text, build(hours), f"[{vocab.BUCKET_LABELS[bucket]}]")
-    return text
+    """Clock times become ``[label]``: one pass per bucket, first the bracketed ones; texts without a clock are skipped."""
+
+    def replace_all(given: Column) -> Column:
+        done = given
+        for build in (_bracket_pattern, _inline_pattern):
+            for bucket, hours in BUCKET_HOURS.items():
+                done = F.regexp_replace(done, build(hours), f"[{vocab.BUCKET_LABELS[bucket]}]")
+        return F.when(given.rlike(CLOCK), done).otherwise(given)
+
+    return let(text, replace_all)
 
 
 def generalize_dates(text: Column, policy: PrivacyPolicy = PRIVACY) -> Column:

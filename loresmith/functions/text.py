@@ -170,3 +170,9 @@ def tidy_blanks(text: Column) -> Column:
 def markup_convert(text: Column) -> Column:
     """The answer as a chat message: closing sections cut, headings bold, blanks tidy."""
     return tidy_blanks(headings_to_bold(trim_answer(text)))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with a fixed number of decimals; halves go up, by plain arithmetic on the double."""
+    scale = float(10**digits)
+    return F.format_string(f"%.{digits}f", F.floor(value * scale + 0.5) / scale)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loresmith import vocab
 from loresmith.config import RETRIEVAL, RetrievalConfig
 from loresmith.functions.lookup import first_tag, lookup, mentions_any
-from loresmith.functions.text import clip, squeeze, truncate
+from loresmith.functions.text import clip, fixed, squeeze, truncate
 from loresmith.operators.policy import role_of
 from loresmith.operators.scoring import is_topic_mismatch, specific_topics
 
@@ -119,7 +119,7 @@ def _block(title: str, number: Column, lines: list[tuple[str, Column]], body: Co
 
 
 def _score_text() -> Column:
-    return F.format_string("%.4f", "final_score")
+    return fixed(F.col("final_score"), 4)
 
 
 def card_block(number: Column, body: Column) -> Column:

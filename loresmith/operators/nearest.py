@@ -80,6 +80,8 @@ def _grid_topk(queries: DataFrame, vectors: DataFrame, k: int, blocks: int, slic
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """Number the best k.  Similarities keep 12 decimals: the rest is noise of the summation order."""
+    found = found.withColumn("vector_score", F.round("vector_score", 12))
     w = Window.partitionBy("query_id").orderBy(F.round("vector_score", 9).desc(), F.col("chunk_id"))
     return found.withColumn("vector_rank", F.row_number().over(w)).where(F.col("vector_rank") <= k)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loresmith import vocab
 from loresmith.config import RETRIEVAL, RetrievalConfig
 from loresmith.functions.lookup import lookup
+from loresmith.functions.text import fixed
 from loresmith.operators.scoring import by_score, is_topic_mismatch
 
 
@@ -152,7 +153,7 @@ def threshold_and_cap(candidates: DataFrame, cfg: RetrievalConfig = RETRIEVAL) -
 
 
 def _reason(name: str, value: Column, limit_name: str, limit: float) -> Column:
-    return F.format_string(f"{name}(%.3f) < {limit_name}({limit:.2f})", value)
+    return F.concat(F.lit(f"{name}("), fixed(value, 3), F.lit(f") < {limit_name}({limit:.2f})"))
 
 
 def diversity_penalty(
