@@ -59,7 +59,7 @@ bm25_all AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, chunk_id) AS bm25_rank
   FROM scored WHERE bm25_score > 0),
 bm25 AS (
-  SELECT *, bm25_score / max(bm25_score) OVER (PARTITION BY query_id) AS bm25_norm
+  SELECT *, round(bm25_score / max(bm25_score) OVER (PARTITION BY query_id), 12) AS bm25_norm
   FROM bm25_all WHERE bm25_rank <= {k})"""
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loresmith.functions.lookup import let
+
 # --- fixed values: the four written forms, tried in this order ---------------------------------------------------
 FULL_KOREAN = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일"
 NUMERIC = r"(?<!\d)(20\d{2})[-/_.\s](\d{1,2})[-/_.\s](\d{1,2})(?!\d)"
@@ -31,13 +33,17 @@ def _yearless(text: Column, pattern: str, year: int) -> Column:
 
 def find_date(text: Column, default_year: int) -> Column:
     """struct(d date, t text) of the first form that gives a real date, or null."""
-    forms = (
-        _full(text, FULL_KOREAN),
-        _full(text, NUMERIC),
-        _yearless(text, MONTH_DAY_KOREAN, default_year),
-        _yearless(text, MONTH_DAY, default_year),
-    )
-    return F.get(F.filter(F.array(*forms), lambda f: f["d"].isNotNull()), F.lit(0))
+
+    def first_form(t: Column) -> Column:
+        forms = (
+            _full(t, FULL_KOREAN),
+            _full(t, NUMERIC),
+            _yearless(t, MONTH_DAY_KOREAN, default_year),
+            _yearless(t, MONTH_DAY, default_year),
+        )
+        return F.get(F.filter(F.array(*forms), lambda f: f["d"].isNotNull()), F.lit(0))
+
+    return let(text, first_form)
 
 
 def head_lines(text: Column, n: int = 20) -> Column:

@@ -98,17 +98,21 @@ def pseudonymize_speakers(text: Column, policy: PrivacyPolicy = PRIVACY) -> Colu
 
 def time_bucket(time: Column) -> Column:
     """morning, afternoon, evening or unknown for a written clock time."""
-    s = F.trim(F.coalesce(time, F.lit("")))
+    return let(F.trim(F.coalesce(time, F.lit(""))), _bucket_of)
+
+
+def _bucket_of(s: Column) -> Column:
     am = F.contains(s, F.lit("오전")) | F.endswith(F.lower(s), F.lit("am"))
     pm = ~am & (F.contains(s, F.lit("오후")) | F.endswith(F.lower(s), F.lit("pm")))
     hour = F.try_to_number(F.nullif(F.regexp_extract(s, CLOCK, 1), F.lit("")), F.lit("99")).cast("int")
-    hour = F.when(pm & (hour < 12), hour + 12).when(am & (hour == 12), 0).otherwise(hour)
-    return (
-        F.when(hour.between(0, 11), "morning")
-        .when(hour.between(12, 17), "afternoon")
-        .when(hour.between(18, 23), "evening")
+    hour = let(hour, lambda h: F.when(pm & (h < 12), h + 12).when(am & (h == 12), 0).otherwise(h))
+    named = lambda h: (
+        F.when(h.between(0, 11), "morning")
+        .when(h.between(12, 17), "afternoon")
+        .when(h.between(18, 23), "evening")
         .otherwise("unknown")
     )
+    return let(hour, named)
 
 
 def bucket_label(bucket: Column) -> Column:

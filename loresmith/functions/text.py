@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loresmith import vocab
+from loresmith.functions.lookup import let
 
 # --- fixed values: patterns ------------------------------------------------------------------------------------------
 INVISIBLE = "[\u200b-\u200f\u202a-\u202e\ufeff]"
@@ -143,10 +144,13 @@ def _cut_line(lines: Column, i: Column) -> Column:
 
 def trim_answer(text: Column) -> Column:
     """Cut an answer where its closing sections (sources, open points, diagnostics) begin."""
-    lines = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
-    marks = F.transform(lines, lambda line, i: _cut_line(lines, i))
-    at = F.array_position(marks, True)
-    kept = F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
+
+    def cut(lines: Column) -> Column:
+        marks = F.transform(lines, lambda line, i: _cut_line(lines, i))
+        at = F.array_position(marks, True)
+        return let(at, lambda p: F.when(p > 0, F.slice(lines, F.lit(1), (p - 1).cast("int"))).otherwise(lines))
+
+    kept = let(F.split(F.coalesce(text, F.lit("")), LINE_BREAK), cut)
     return F.regexp_replace(F.array_join(kept, "\n"), r"(\n[^\S\n]*)+$", "")
 
 
