@@ -127,16 +127,15 @@ def r2a_vector_topk_approx(spark, sf):
     q, v = query_vectors(spark, sf), vectors(spark, sf)
     exact = nearest.vector_topk(q, v, 15).select("query_id", "chunk_id")
     near = nearest.vector_topk_approx(q, v, 15, DIM).select("query_id", "chunk_id", F.lit(1).alias("found"))
-    pairs = nearest.vector_candidates_approx(q, v, DIM).agg(F.count("*").alias("compared"))
-    total = q.agg(F.count("*").alias("nq")).join(v.agg(F.count("*").alias("nv")))  # one row each
+    compared, nq, nv = (d.agg(F.count("*")).scalar() for d in (nearest.vector_candidates_approx(q, v, DIM), q, v))
     recall = exact.join(near, ["query_id", "chunk_id"], "left").agg(
         F.count("*").alias("wanted"), F.count("found").alias("found")
     )
-    return recall.join(pairs).join(total).select(
+    return recall.select(
         "wanted",
         "found",
         (F.col("found") / F.col("wanted")).alias("recall"),
-        (F.col("compared") / (F.col("nq") * F.col("nv"))).alias("candidate_fraction"),
+        (compared / (nq * nv)).alias("candidate_fraction"),
     )
 
 
@@ -168,8 +167,9 @@ def r3_tokenize(spark, sf):
 def r4_bm25_index(spark, sf):
     index = keyword.build_index(table(spark, sf, "documents"))
     totals = index.postings.groupBy("term").agg(F.sum("tf").alias("tf_total"))
-    return index.terms.join(totals, "term").join(F.broadcast(index.corpus.select("n_docs"))).select(
-        "term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"), "n_docs", "tf_total"
+    n_docs = index.corpus.select("n_docs").scalar()
+    return index.terms.join(totals, "term").select(
+        "term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"), n_docs.alias("n_docs"), "tf_total"
     )
 
 

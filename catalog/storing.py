@@ -324,8 +324,9 @@ def x1_incremental_ingest(spark, sf):
     for run in ("first", "again"):
         streams.incremental_ingest(spark, root, target, scratch_dir(spark, f"cp-{run}"), 2024, FOLDERS).awaitTermination()
     log = spark.read.parquet(f"{target}/log").groupBy("status").agg(F.count("*").alias("files"), F.sum("chunks_added").alias("chunks"))
-    stored = spark.read.parquet(f"{target}/chunks").agg(F.count("*").alias("stored"), F.count_distinct("chunk_id").alias("distinct_ids"))
-    return log.join(stored)  # one row
+    stored = spark.read.parquet(f"{target}/chunks")
+    counts = {"stored": F.count("*"), "distinct_ids": F.count_distinct("chunk_id")}
+    return log.select("*", *[stored.agg(c).scalar().alias(n) for n, c in counts.items()])
 
 
 SQL_ASKED = """asked_q AS (

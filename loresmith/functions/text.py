@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loresmith import vocab
 from loresmith.functions.lookup import let
@@ -28,7 +29,7 @@ EMPHASIS_LINE = r"^[\*_]{1,2}[^*_]+[\*_]{1,2}\s*:?\s*$"
 OMITTED = "\n\n... (중략, 원본은 길어서 일부만 전달) ...\n\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 

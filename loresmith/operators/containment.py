@@ -60,12 +60,12 @@ def containing_pairs(
     p = passages.select(
         "*",
         F.pmod(F.xxhash64("passage_id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long").alias("slice"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"),
     )
     t = texts.select(
         "*",
         F.pmod(F.xxhash64("text_id"), F.lit(slices)).alias("slice"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
     )
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loresmith.functions.vectors import cosine
@@ -62,8 +62,7 @@ def score_distribution(results: DataFrame, by: str = "uploaded_category", score:
         F.percentile(score, 0.5).alias("median_score"),
         F.max(score).alias("max_score"),
     )
-    total = results.agg(F.count("*").alias("total"))
-    return grouped.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total")  # one row
+    return grouped.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # one row per category
 
 
 def usage_counters(calls: DataFrame, kind: str, items: Column, at: str, size: Column) -> DataFrame:

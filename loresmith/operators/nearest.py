@@ -57,11 +57,18 @@ def _local_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def _grid_topk(queries: DataFrame, vectors: DataFrame, k: int, blocks: int, slices: int) -> DataFrame:
     """Too many queries to broadcast: meet every (query block, corpus slice) once, each pair in its own task."""
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    # Own names on both sides: queries may have been taken from the corpus itself.
+    q = queries.select(
+        "query_id",
+        F.col("vector").alias("query_vector"),
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"),
     )
-    v = vectors.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
+    v = vectors.select(
+        "chunk_id",
+        F.col("vector").alias("chunk_vector"),
+        F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).alias("slice"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
     )
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -69,9 +76,9 @@ def _grid_topk(queries: DataFrame, vectors: DataFrame, k: int, blocks: int, slic
             return pa.schema([("query_id", "int64"), ("chunk_id", "int64"), ("vector_score", "float64")]).empty_table()
         batch = _best(
             left["query_id"].combine_chunks().to_numpy(zero_copy_only=False),
-            _matrix(left["vector"].combine_chunks()),
+            _matrix(left["query_vector"].combine_chunks()),
             right["chunk_id"].combine_chunks().to_numpy(zero_copy_only=False),
-            _matrix(right["vector"].combine_chunks()),
+            _matrix(right["chunk_vector"].combine_chunks()),
             k,
         )
         return pa.Table.from_batches([batch])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_BYTES = 64 << 20
 BROADCAST_MAX_ROWS = 2_000_000
 SPREAD_MAX_BYTES_PER_CORE = 16 << 20
+_OWN_FOLDERS: dict[str, str] = {}  # per application, only where the session names no shared folder
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -20,8 +21,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="loresmith-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN_FOLDERS.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="loresmith-")
+        _OWN_FOLDERS[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
