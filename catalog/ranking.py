@@ -612,7 +612,8 @@ def e3_cap_per_file(spark, sf):
 )
 def e4_budget_pack(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("n"))
-    blocks = ranked(spark, sf).where("passed").select("query_id", "chunk_id", "rank_n").join(texts, "chunk_id")
+    blocks = ranked(spark, sf).where("passed").select("query_id", "chunk_id", "rank_n")
+    blocks = retrieval.with_texts(blocks, texts, "n").where(F.col("n").isNotNull())
     packed = evidence.budget_pack(blocks, RETRIEVAL.max_context_chars, F.col("n"), "rank_n", ("query_id",), separator=2)
     return packed.select("query_id", "chunk_id", "rank_n", "running_chars")
 
@@ -620,7 +621,7 @@ def e4_budget_pack(spark, sf):
 def final_with_text(spark: SparkSession, sf: str) -> DataFrame:
     """Final rows with their whole document text as the body; a raw-table child has none."""
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
-    rows = finals(spark, sf).join(texts, "chunk_id", "left")
+    rows = retrieval.with_texts(finals(spark, sf), texts, "body")
     return rows.withColumns(
         {
             "body": F.coalesce("body", F.lit("")),

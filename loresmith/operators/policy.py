@@ -14,6 +14,7 @@ from loresmith.config import RETRIEVAL, RetrievalConfig
 from loresmith.functions.lookup import lookup
 from loresmith.functions.text import fixed
 from loresmith.operators.scoring import by_score, is_topic_mismatch
+from loresmith.session import broadcast_if_small
 
 
 def is_card(content_type: Column, source_type: Column) -> Column:
@@ -73,16 +74,18 @@ def normalized_priority(candidates: DataFrame, cfg: RetrievalConfig = RETRIEVAL)
 def expand_children(candidates: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RETRIEVAL) -> DataFrame:
     """Append up to ``children_per_parent`` raw-table rows below each spreadsheet summary.
 
-    ``chunks`` holds child rows with parent_chunk_id, sheet_name and the chunk attributes.  Per parent and sheet at
-    most that many children survive before the join, and the limit is pushed below the shuffle, so a parent with very
-    many children costs no more than any other.  A child reachable from two parents belongs to the better one; one that
+    ``chunks`` holds child rows with parent_chunk_id, sheet_name and the chunk attributes.  Only children of parents
+    among the candidates leave the scan; per parent and sheet at most that many survive before the join, and the limit
+    is pushed below the shuffle, so a parent with very many children costs no more than any other.  A child reachable from two parents belongs to the better one; one that
     is already a candidate is not added again.
     """
     n = cfg.children_per_parent
     candidates = candidates.withColumns({"rank_k1": F.row_number().over(by_score()), "is_child": F.lit(False)})
     # A sheetless child fits every sheet, so per parent the first n of each sheet group cover any parent's sheet.
     first = Window.partitionBy("parent_chunk_id", "sheet_name").orderBy("chunk_id")
-    kids = chunks.withColumn("child_no", F.row_number().over(first)).where(F.col("child_no") <= n).drop("child_no")
+    wanted = candidates.where(F.col("content_type") == "excel_summary").select(F.col("chunk_id").alias("parent_chunk_id"))
+    kids = chunks.join(broadcast_if_small(wanted.distinct()), "parent_chunk_id", "left_semi")
+    kids = kids.withColumn("child_no", F.row_number().over(first)).where(F.col("child_no") <= n).drop("child_no")
     parents = candidates.where(F.col("content_type") == "excel_summary").select(
         "query_id",
         F.col("chunk_id").alias("parent_chunk_id"),

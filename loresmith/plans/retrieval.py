@@ -39,10 +39,17 @@ def search(questions: DataFrame, query_vectors: DataFrame, corpus: Corpus, cfg:
 def describe(fused: DataFrame, features: DataFrame, corpus: Corpus) -> DataFrame:
     """Candidates with the attributes of their chunk and the features of their question.
 
-    The candidates are measured and broadcast, so the chunk table is scanned once and never shuffled.
+    The candidates are measured and broadcast, so the chunk table is scanned once and never shuffled.  The result is
+    again a few rows per question; it is written because the ranking stages read it more than once.
     """
     rows = corpus.chunks.join(broadcast_if_small(fused), "chunk_id")
-    return rows.join(broadcast_if_small(features), "query_id")
+    return written(rows.join(broadcast_if_small(features), "query_id"), "described")
+
+
+def with_texts(rows: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add the text of each row's chunk, or null.  Only texts of the (measured, broadcast) rows leave the scan."""
+    wanted = broadcast_if_small(rows.select("chunk_id").distinct())
+    return rows.join(texts.select("chunk_id", text_col).join(wanted, "chunk_id", "left_semi"), "chunk_id", "left")
 
 
 def rank(candidates: DataFrame, corpus: Corpus, as_of, cfg: RetrievalConfig = RETRIEVAL) -> DataFrame:
