@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import LANG_CATEGORY, Registry, pick, sql_case, sql_list, sql_pick, table
-from catalog.texts import NL, docs, short, short_cols, sql_strip
-from loresmith import vocab
+from catalog.base import LANG_CATEGORY, Registry, pick, sql_case, sql_pick, table
+from catalog.texts import NL, docs, sql_strip
 from loresmith.config import CardConfig
 from loresmith.functions.lookup import lookup
 from loresmith.operators import cards

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import Registry, table
 from catalog.ranking import sql_date, sql_tags
-from catalog.texts import NL, SQL_LABEL, docs, short, short_cols, sql_bucket, sql_label, sql_links, sql_mentions, sql_strip
-from loresmith import vocab
+from catalog.texts import docs, short, short_cols, sql_bucket, sql_label, sql_links, sql_mentions, sql_strip
 from loresmith.operators import sections
 
 REG = Registry()

@@ -18,7 +18,6 @@ from catalog.base import (
     pick,
     questions,
     sql_case,
-    sql_list,
     sql_pick,
     table,
 )

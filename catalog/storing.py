@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import search
-from catalog.base import CONTENT_TYPES, LANG_CATEGORY, Registry, pick, sql_case, sql_pick, table
+from catalog.base import LANG_CATEGORY, Registry, pick, sql_case, sql_pick, table
 from catalog.ranking import SQL_RANKED, final_with_text
 from catalog.search import sql_bm25
-from catalog.texts import NL, docs, short, short_cols
+from catalog.texts import docs, short, short_cols
 from loresmith.functions import hashing
 from loresmith.functions.lookup import lookup
 from loresmith.operators import keyword, registry as reg

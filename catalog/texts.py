@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import CONTENT_TYPES, LANG_CATEGORY, Registry, pick, sql_case, sql_list, sql_pick, table
-from catalog.ranking import SQL_WEIGHT, sql_any, sql_date, sql_tags
+from catalog.base import CONTENT_TYPES, LANG_CATEGORY, Registry, pick, sql_case, sql_pick, table
+from catalog.ranking import SQL_WEIGHT, sql_tags
 from loresmith import vocab
 from loresmith.config import ChunkConfig, PrivacyPolicy
 from loresmith.functions import dates, hashing, privacy, text

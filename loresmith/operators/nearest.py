@@ -133,7 +133,7 @@ def sign_hashes(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 17)
 
 
 def vector_candidates_approx(
-    queries: DataFrame, vectors: DataFrame, dim: int, tables: int = 24, bits: int = 7
+    queries: DataFrame, vectors: DataFrame, dim: int, tables: int = 64, bits: int = 8
 ) -> DataFrame:
     """Distinct (query_id, chunk_id) pairs that share a hash in some table.
 
@@ -147,7 +147,7 @@ def vector_candidates_approx(
 
 
 def vector_topk_approx(
-    queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = 24, bits: int = 7
+    queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = 64, bits: int = 8
 ) -> DataFrame:
     """Approximate cosine top ``k``: exact similarity, but only for pairs that share a sign hash."""
     pairs = vector_candidates_approx(queries, vectors, dim, tables, bits)

@@ -4,7 +4,6 @@ import contextlib
 import io
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 

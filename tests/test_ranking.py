@@ -3,7 +3,6 @@
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loresmith.config import RetrievalConfig
