@@ -17,9 +17,11 @@ _OWN_FOLDERS: dict[str, str] = {}  # per application, only where the session nam
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` wins; a folder of our own is chosen only where the session names none (tests, local runs).
+    A folder of our own is made only in local mode, where one machine runs everything; a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = _OWN_FOLDERS.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="loresmith-")
         _OWN_FOLDERS[spark.sparkContext.applicationId] = base
