@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.base import Registry
-from loresmith.llm import line_dedup, mixing, sharding
+from loresmith.llm import line_dedup, mixing, sharding, simhash
 from loresmith.llm.common import table
 
 REG = Registry()
 
 
+@REG.add("op2_simhash_near_dedup")
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @REG.add("op4_mix_sources", mixing.mix_sql())
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
