@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.base import Registry
-from loresmith.llm import line_dedup, mixing, sharding, simhash
+from loresmith.llm import decontaminate, line_dedup, mixing, sharding, simhash
 from loresmith.llm.common import table
 
 REG = Registry()
 
 
+@REG.add("op1_decontaminate", decontaminate.contaminated_sql())
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @REG.add("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
