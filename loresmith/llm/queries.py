@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.base import Registry
-from loresmith.llm import decontaminate, line_dedup, mixing, sharding, simhash
+from loresmith.llm import decontaminate, line_dedup, mixing, sharding, simhash, topk
 from loresmith.llm.common import table
 
 REG = Registry()
@@ -21,6 +21,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@REG.add("op3_exact_topk", topk.TOPK_SQL)
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, topk.every_hundredth(vectors))
+
+
 @REG.add("op4_mix_sources", mixing.mix_sql())
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
