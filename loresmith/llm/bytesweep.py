@@ -119,3 +119,23 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, width: int) -> tuple[n
     rows = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     whole = rows[:n] == rows[width - 1 :]
     return mixed(total[whole] + np.uint64(width)), rows[:n][whole]
+
+
+def pieces(texts: pa.Array, is_word: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``chunks``, but a row of more than ``limit`` bytes comes in parts that end outside words: (rows, bytes, bounds).
+
+    For sums over words, which may be added up part by part.
+    """
+    for first, data, bounds in chunks(texts, limit):
+        if len(data) <= limit:
+            yield np.arange(first, first + len(bounds) - 1), data, bounds
+            continue
+        for start, end in _blocks(data, is_word, limit):
+            yield np.array([first]), data[start:end], np.array([0, end - start])
+
+
+def row_sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` (along the first axis) for each row, rows given by the position of their first value."""
+    sums = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, out=sums[1:])
+    return sums[firsts[1:]] - sums[firsts[:-1]]
