@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,12 +72,16 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tup
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes wherever they stand."""
+def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Function of starts and ends: 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
     powers, inverses = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverses[starts])
+    return lambda starts, ends: mixed((sums[ends] - sums[starts]) * inverses[starts])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends)
 
 
 def _blocks(data: np.ndarray, is_word: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
