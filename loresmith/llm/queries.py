@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.base import Registry
-from loresmith.llm import decontaminate, langid, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from loresmith.llm import decontaminate, langid, licenses, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
 from loresmith.llm.common import table
 
 REG = Registry()
@@ -42,6 +42,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@REG.add("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @REG.add("op8_language")
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
