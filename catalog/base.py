@@ -86,3 +86,39 @@ SQL_QUESTIONS = f"""questions AS (
          CASE WHEN b.item_id % 3 = 0 AND o.o_orderdate IS NOT NULL
               THEN ' ' || strftime(o.o_orderdate, '%Y-%m-%d') ELSE '' END AS question
   FROM benchmark b LEFT JOIN orders o ON o.o_orderkey = b.item_id)"""
+
+
+# --- texts ----------------------------------------------------------------------------------------------------------
+# White space of any kind, as a class of the SQL engine's patterns.
+SQL_SPACE = (
+    "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}"
+    "\\x{202f}\\x{205f}\\x{3000}]"
+)
+
+
+def sql_strip(e: str) -> str:
+    return f"regexp_replace({e}, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
+
+
+def sql_squeeze(e: str) -> str:
+    return sql_strip(f"regexp_replace({e}, '{SQL_SPACE}+', ' ', 'g')")
+
+
+def sql_mentions(e: str) -> str:
+    return (
+        f"regexp_replace(regexp_replace({e}, '<@[A-Z0-9]+>', '@담당자', 'g'), "
+        "'@\\s*([가-힣A-Za-z0-9_]{2,30})(?:\\[([^\\[\\]]{1,30})\\])?', '@담당자', 'g')"
+    )
+
+
+# A word edge that is the same in both engines wherever the text before the name is ASCII.
+def sql_links(e: str) -> str:
+    for pattern, label in (
+        ("(drive\\.google\\.com|docs\\.google\\.com)[^\\s)>\\]]*", "[링크]"),
+        ("https?://[^\\s)>\\]]+", "[링크]"),
+        ("(?i)\\b\\S+\\.(png|jpg|jpeg|gif|bmp|webp)\\b", "[이미지]"),
+        ("(?i)\\b\\S+\\.(xlsx|xlsm|docx|pdf|csv)\\b", "[파일]"),
+        ("\\b\\d+\\s*개\\s*파일", "[이미지/파일 첨부]"),
+    ):
+        e = f"regexp_replace({e}, '{pattern}', '{label}', 'g')"
+    return e

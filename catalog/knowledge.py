@@ -62,7 +62,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     first = F.to_json(
         F.struct(
             pick(n, TYPES).alias("card_type"), F.concat(F.lit(" T"), n.cast("string")).alias("title"),
-            F.substring("text", 1, 40).alias("summary"), F.lit("meta").alias("topic_tags"),
+            F.col("text").alias("summary"), F.lit("meta").alias("topic_tags"),
             F.array(F.lit("s1"), F.lit(" "), F.lit("s2")).alias("steps"), F.lit("only one").alias("checkpoints"),
             F.array(pick(n, ["procedure", "summary", "wrong"])).alias("answer_use_cases"),
             F.array(
@@ -105,7 +105,7 @@ def coerced(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_CARDS = f"""base AS (
-  SELECT doc_id, source, {CATEGORY} AS category, {CATEGORY} = 'slack' AS slack, substr(text, 1, 40) AS head, {sql_pick('doc_id', TYPES)} AS t FROM documents WHERE doc_id % 10 >= 5),
+  SELECT doc_id, source, {CATEGORY} AS category, {CATEGORY} = 'slack' AS slack, text AS head, {sql_pick('doc_id', TYPES)} AS t FROM documents WHERE doc_id % 10 >= 5),
 cards AS (
   SELECT doc_id, source, category, slack, 0 AS card_no, CASE WHEN t = 'bogus' THEN CASE WHEN slack THEN 'issue' ELSE 'workflow' END ELSE lower(t) END AS card_type,
          'T' || doc_id AS title, {sql_strip('head')} AS summary, 'topic' || doc_id % 4 AS primary_topic,

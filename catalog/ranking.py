@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from catalog import search
 from catalog.base import (
+    sql_links,
+    sql_mentions,
+    sql_squeeze,
     AS_OF,
     CATEGORY_SOURCE,
     CONTENT_TYPES,
@@ -21,9 +24,11 @@ from catalog.base import (
     sql_pick,
     table,
 )
+
 from loresmith import vocab
 from loresmith.config import CARDS, RETRIEVAL
 from loresmith.functions.lookup import lookup
+from loresmith.functions.privacy import anonymize
 from loresmith.functions.questions import answer_intent, query_features
 from loresmith.operators import evaluate, evidence, policy, scoring
 from loresmith.plans import retrieval
@@ -114,12 +119,17 @@ def t19_query_features(spark, sf):
 
 
 # --- the corpus side ----------------------------------------------------------------------------------------------------
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as chunks: language gives the category, the vector's label topic and card, the order the dates."""
+def chunks(spark: SparkSession, sf: str, ids: DataFrame | None = None) -> DataFrame:
+    """documents as chunks: language gives the category, the vector's label topic and card, the order the dates.
+
+    ``ids(chunk_id)``: only these chunks; each table is reduced to them before the tables are joined.
+    """
     d, e, o = (table(spark, sf, n) for n in ("documents", "embeddings", "orders"))
     d = d.select(F.col("doc_id").alias("chunk_id"), "lang", "source")
     e = e.select(F.col("vec_id").alias("chunk_id"), "label")
     o = o.select(F.col("o_orderkey").alias("chunk_id"), "o_orderdate")
+    if ids is not None:
+        d, e, o = (t.join(ids, "chunk_id", "left_semi") for t in (d, e, o))
     rows = d.join(e, "chunk_id", "left").join(o, "chunk_id", "left")
     rows = rows.withColumn("uploaded_category", lookup(F.col("lang"), LANG_CATEGORY, "misc"))
     card = F.coalesce(F.col("label") < 2, F.lit(False))
@@ -177,7 +187,7 @@ def children(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf: str) -> retrieval.Corpus:
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.Corpus(texts, search.vectors(spark, sf), chunks(spark, sf), children(spark, sf))
+    return retrieval.Corpus(texts, search.vectors(spark, sf), lambda ids: chunks(spark, sf, ids), children(spark, sf))
 
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
@@ -618,20 +628,21 @@ def e4_budget_pack(spark, sf):
 
 
 def final_with_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Final rows with their whole document text as the body; a raw-table child has none."""
+    """Final rows with their whole document text, de-identified, as the body; a raw-table child has none."""
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"))
     rows = retrieval.with_texts(finals(spark, sf), texts, "body")
     return rows.withColumns(
         {
-            "body": F.coalesce("body", F.lit("")),
+            "body": anonymize(F.coalesce("body", F.lit(""))),
             "display_date": F.col("document_date").cast("string"),
             "card_id": F.when(F.col("is_card"), F.concat(F.lit("kc_"), F.col("chunk_id").cast("string"))),
         }
     )
 
 
-SQL_LANES = """laned AS (
-  SELECT f.*, coalesce(d.text, '') AS body, bool_or(role = 'primary_card') OVER q AS has_card, count(*) OVER q AS n_rows,
+SQL_SAFE = sql_mentions(sql_links("coalesce(d.text, '')"))
+SQL_LANES = ("""laned AS (
+  SELECT f.*, {SQL_SAFE} AS body, bool_or(role = 'primary_card') OVER q AS has_card, count(*) OVER q AS n_rows,
          count(*) OVER (PARTITION BY query_id, role) AS role_size,
          row_number() OVER (PARTITION BY query_id, role ORDER BY rank_n) AS role_no,
          row_number() OVER (PARTITION BY query_id, file_name ORDER BY rank_n) AS file_no
@@ -676,7 +687,7 @@ blocks AS (
   FROM texts),
 packed AS (
   SELECT * FROM (SELECT *, sum(length(block)) OVER (PARTITION BY query_id, lane ORDER BY block_no)::BIGINT AS running_chars
-                 FROM blocks) WHERE block_no = 1 OR running_chars <= budget)"""
+                 FROM blocks) WHERE block_no = 1 OR running_chars <= budget)""").replace("{SQL_SAFE}", SQL_SAFE)
 
 
 @REG.add(
@@ -715,7 +726,7 @@ def e6_answer_format(spark, sf):
     "e7_source_listing",
     f"""WITH {SQL_RANKED},
         numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY rank_n) AS source_no FROM final),
-        shown AS (SELECT n.*, trim(regexp_replace(coalesce(d.text, ''), '\\s+', ' ', 'g')) AS flat
+        shown AS (SELECT n.*, {sql_squeeze(sql_mentions(sql_links("coalesce(d.text, '')")))} AS flat
                   FROM numbered n LEFT JOIN documents d ON d.doc_id = n.chunk_id WHERE source_no <= 3)
         SELECT query_id, role, source_no, chunk_id,
                file_name || ' · ' || section_title || CASE WHEN card_type IS NULL THEN '' ELSE ' (' || card_type || ')' END

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import LANG_CATEGORY, Registry, pick, sql_case, sql_pick, table
+from catalog.base import LANG_CATEGORY, SQL_SPACE, Registry, pick, sql_case, sql_links, sql_mentions, sql_pick, table
 from catalog.ranking import SQL_RANKED, final_with_text
 from catalog.search import sql_bm25
 from catalog.texts import docs, short, short_cols
@@ -15,7 +15,6 @@ from loresmith.operators import keyword, registry as reg
 from loresmith.session import scratch_dir
 from loresmith.sources import files, stores
 from loresmith.streaming import streams
-from loresmith.config import PrivacyPolicy
 
 REG = Registry()
 CATEGORY = sql_case("lang", LANG_CATEGORY, "'misc'")
@@ -58,15 +57,16 @@ def s2_route_source_type(spark, sf):
 @REG.add(
     "s3_decode_text",
     f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp949' ELSE 'latin-1' END AS encoding,
-               {short("CASE doc_id % 3 WHEN 0 THEN text || '가' WHEN 1 THEN '가' || doc_id ELSE 'ÿ' || doc_id END", 'text')} FROM documents""",
+               {short("CASE doc_id % 3 WHEN 0 THEN text || '가' WHEN 1 THEN '가' || CASE WHEN regexp_full_match(text, '[\\x01-\\x7f]*') THEN text ELSE doc_id::VARCHAR END ELSE 'ÿ' || text END", 'text')} FROM documents""",
 )
 def s3_decode_text(spark, sf):
-    """UTF-8 texts, CP949 bytes, and bytes that are neither."""
-    n, number = F.col("doc_id") % 3, F.col("doc_id").cast("string").cast("binary")
+    """Whole texts in UTF-8, in CP949 (the ASCII ones, else the number) and in bytes that are neither."""
+    n = F.col("doc_id") % 3
+    plain = F.when(F.col("text").rlike(r"^[\x01-\x7F]*$"), F.col("text")).otherwise(F.col("doc_id").cast("string"))
     content = (
         F.when(n == 0, F.concat("text", F.lit("가")).cast("binary"))
-        .when(n == 1, F.concat(F.unhex(F.lit("B0A1")), number))
-        .otherwise(F.concat(F.unhex(F.lit("FF")), number))
+        .when(n == 1, F.concat(F.unhex(F.lit("B0A1")), plain.cast("binary")))
+        .otherwise(F.concat(F.unhex(F.lit("FF")), F.encode("text", "ISO-8859-1")))
     )
     d = docs(spark, sf, "text").select("doc_id", files.decode_text(content).alias("d"))
     return d.select("doc_id", "d.encoding", *short_cols(F.col("d.text"), "text"))
@@ -120,14 +120,14 @@ def s6_write_read_chunks(spark, sf):
     "s8_append_qa_log",
     f"""WITH {SQL_RANKED}
         SELECT f.query_id, count(*) OVER (PARTITION BY f.query_id) AS n_passed, f.rank_n, f.chunk_id, f.role AS retrieval_role,
-               substr(coalesce(d.text, ''), 1, 600) AS preview
+               substr({sql_mentions(sql_links("coalesce(d.text, '')"))}, 1, 600) AS preview
         FROM final f LEFT JOIN documents d ON d.doc_id = f.chunk_id""",
 )
 def s8_append_qa_log(spark, sf):
-    """Written without masking here, so that the SQL can state the previews; masking itself is T11."""
+    """The previews are de-identified; the documents hold mentions and links at most, as T11 shows."""
     path = scratch_dir(spark, "qa-log")
     rows = final_with_text(spark, sf).withColumn("retrieval_role", F.coalesce("retrieval_role", F.lit("raw_fallback")))
-    log = stores.qa_log_rows(rows, policy=PrivacyPolicy(anonymize=False))
+    log = stores.qa_log_rows(rows)
     stores.append_qa_log(log, path)
     back = spark.read.schema(log.schema).json(path)
     return back.select("query_id", "n_passed", F.explode("retrieved_chunks").alias("c")).select(
@@ -251,7 +251,7 @@ KEY = "sha256('local|m1|doc|' || {})"
     f"""WITH c AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN lang || ': ' || text ELSE text END AS t FROM documents),
         k AS (SELECT {KEY.format('t')} AS key, min(chunk_id) AS chunk_id, any_value(t) AS t FROM c WHERE t <> '' GROUP BY 1),
         todo AS (SELECT * FROM k WHERE key NOT IN (SELECT {KEY.format('text')} FROM documents SEMI JOIN labels USING (doc_id)))
-        SELECT key, chunk_id, {short('substr(t, 1, 8000)', 'text')},
+        SELECT key, chunk_id, {short("CASE WHEN length(t) <= 8000 THEN t ELSE regexp_replace(substr(t, 1, 7997), '" + SQL_SPACE + "+$', '') || '...' END", 'text')},
                substr(key, 1, 2) || '-' || ((row_number() OVER (PARTITION BY substr(key, 1, 2) ORDER BY key) - 1) // 32)::BIGINT AS batch_id
         FROM todo""",
 )

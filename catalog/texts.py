@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import CONTENT_TYPES, LANG_CATEGORY, Registry, pick, sql_case, sql_pick, table
+from catalog.base import (
+    CONTENT_TYPES,
+    LANG_CATEGORY,
+    SQL_SPACE,
+    Registry,
+    pick,
+    sql_case,
+    sql_links,
+    sql_mentions,
+    sql_pick,
+    sql_squeeze,
+    sql_strip,
+    table,
+)
 from catalog.ranking import SQL_WEIGHT, sql_tags
 from loresmith import vocab
 from loresmith.config import ChunkConfig, PrivacyPolicy
@@ -23,10 +36,6 @@ def docs(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", *cols))
 
 
-def sql_strip(e: str) -> str:
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
-
-
 def short(e: str, name: str) -> str:
     """Long texts are compared by length and hash."""
     return f"length({e}) AS {name}_len, sha256({e}) AS {name}_sha"
@@ -91,13 +100,6 @@ def t3_drop_noise_lines(spark, sf):
     return d.select("doc_id", *short_cols(F.col("s"), "kept"))
 
 
-def sql_mentions(e: str) -> str:
-    return (
-        f"regexp_replace(regexp_replace({e}, '<@[A-Z0-9]+>', '@담당자', 'g'), "
-        "'@\\s*([가-힣A-Za-z0-9_]{2,30})(?:\\[([^\\[\\]]{1,30})\\])?', '@담당자', 'g')"
-    )
-
-
 @REG.add(
     "t4_mask_mentions",
     f"SELECT doc_id, {short('s', 'masked')} FROM (SELECT doc_id, {sql_mentions(SQL_MARKED)} AS s FROM documents)",
@@ -107,19 +109,6 @@ def t4_mask_mentions(spark, sf):
     return d.select("doc_id", *short_cols(F.col("s"), "masked"))
 
 
-# A word edge that is the same in both engines wherever the text before the name is ASCII.
-def sql_links(e: str) -> str:
-    for pattern, label in (
-        ("(drive\\.google\\.com|docs\\.google\\.com)[^\\s)>\\]]*", "[링크]"),
-        ("https?://[^\\s)>\\]]+", "[링크]"),
-        ("(?i)\\b\\S+\\.(png|jpg|jpeg|gif|bmp|webp)\\b", "[이미지]"),
-        ("(?i)\\b\\S+\\.(xlsx|xlsm|docx|pdf|csv)\\b", "[파일]"),
-        ("\\b\\d+\\s*개\\s*파일", "[이미지/파일 첨부]"),
-    ):
-        e = f"regexp_replace({e}, '{pattern}', '{label}', 'g')"
-    return e
-
-
 SQL_FILES = """(url || ' drive.google.com/d/' || page_id || ' pic' || page_id || '.PNG sheet_' || page_id || '.xlsx 3 개 파일 ' || url)"""
 
 
@@ -337,12 +326,12 @@ def t16_markup_convert(spark, sf):
 
 @REG.add(
     "t17_preview",
-    f"""SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE regexp_replace(substr(s, 1, 239), '\\s+$', '') || '…' END AS preview
-        FROM (SELECT doc_id, {sql_strip(f"regexp_replace({sql_mentions('text')}, '\\s+', ' ', 'g')")} AS s FROM documents)""",
+    f"""SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE regexp_replace(substr(s, 1, 239), '{SQL_SPACE}+$', '') || '…' END AS preview
+        FROM (SELECT doc_id, {sql_squeeze(sql_mentions(sql_links("'@kim see https://a.example/x ' || text")))} AS s FROM documents)""",
 )
 def t17_preview(spark, sf):
-    safe = text.squeeze(privacy.mask_mentions(F.col("text")))
-    return docs(spark, sf, "text").select("doc_id", text.clip(safe, 240).alias("preview"))
+    given = F.concat(F.lit("@kim see https://a.example/x "), "text")
+    return docs(spark, sf, "text").select("doc_id", privacy.preview(given).alias("preview"))
 
 
 # --- scalar parsers -----------------------------------------------------------------------------------------------------
@@ -353,14 +342,16 @@ NAME_FORMS = ["korean", "dash", "under", "monthday", "short", "bad", "content",
     "p11_extract_document_date",
     """SELECT o_orderkey,
          CASE k WHEN 0 THEN d WHEN 1 THEN strftime(o_orderdate, '2024-%m-%d') WHEN 2 THEN strftime(o_orderdate, '2024-%m-%d')
-                WHEN 3 THEN strftime(o_orderdate, '2001-%m-%d') WHEN 4 THEN strftime(o_orderdate, '2001-%m-%d')
-                WHEN 5 THEN strftime(o_orderdate, '2001-%m-%d') WHEN 6 THEN d ELSE '-' END AS document_date,
-         CASE WHEN k < 6 THEN 'file_name' WHEN k = 6 THEN 'content_title' ELSE 'unknown' END AS date_source
-       FROM (SELECT *, o_orderkey % 8 AS k, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
-       WHERE strftime(o_orderdate, '%m-%d') <> '02-29'""",
+                WHEN 6 THEN d WHEN 7 THEN '-'
+                ELSE CASE WHEN leap THEN '-' ELSE strftime(o_orderdate, '2001-%m-%d') END END AS document_date,
+         CASE WHEN k < 3 OR (k < 6 AND NOT leap) THEN 'file_name' WHEN k = 6 THEN 'content_title' ELSE 'unknown' END AS date_source
+       FROM (SELECT *, o_orderkey % 8 AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%m-%d') = '02-29' AS leap FROM orders)""",
 )
 def p11_extract_document_date(spark, sf):
-    """Names in every written form; an impossible date falls through to the next form; one date is on line 2 of the text."""
+    """Names in every written form; an impossible date falls through to the next form; one date is on line 2 of the text.
+
+    29 February is a date in 2024 and none in 2001.
+    """
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
     name = (
         F.when(k == 0, F.concat(F.lit("["), F.date_format(d, "yyyy년 M월 d일"), F.lit(" TODO].txt")))
@@ -374,8 +365,7 @@ def p11_extract_document_date(spark, sf):
     body = F.when(k == 6, F.concat(F.lit("title\n"), F.date_format(d, "yyyy년 MM월 dd일"))).otherwise("title")
     late = F.when(k == 7, F.concat(F.lit("\n" * 25), F.date_format(d, "yyyy년 MM월 dd일"))).otherwise("")
     found = dates.document_date(name, F.concat(body, late), 2001)
-    o = table(spark, sf, "orders").where(F.date_format(d, "MM-dd") != "02-29")
-    return o.select("o_orderkey", found.alias("f")).select(
+    return table(spark, sf, "orders").select("o_orderkey", found.alias("f")).select(
         "o_orderkey", F.coalesce(F.col("f.document_date").cast("string"), F.lit("-")).alias("document_date"), "f.date_source"
     )
 

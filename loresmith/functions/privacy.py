@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loresmith import vocab
 from loresmith.config import PRIVACY, PrivacyPolicy
 from loresmith.functions.lookup import let, lookup
+from loresmith.functions.text import clip, squeeze
 
 # --- fixed values: patterns ------------------------------------------------------------------------------------------
 NAME_TEAM = r"([가-힣]{2,4})\[([^\[\]]{1,30})\]"
@@ -15,12 +16,15 @@ AT_MENTION = r"@\s*([가-힣A-Za-z0-9_]{2,30})(?:\[([^\[\]]{1,30})\])?"
 INNER_MENTION = r"<@[A-Z0-9]+>"
 URL = r"https?://[^\s)>\]]+"
 DRIVE = r"(drive\.google\.com|docs\.google\.com)[^\s)>\]]*"
-IMAGE_FILE = r"(?i)\b\S+\.(png|jpg|jpeg|gif|bmp|webp)\b"
-OFFICE_FILE = r"(?i)\b\S+\.(xlsx|xlsm|docx|pdf|csv)\b"
-FILE_COUNT = r"\b\d+\s*개\s*파일\b"
+# Word edges between letters, digits and underscores of any script; the short sign for them depends on the Java version.
+WORD = r"[\p{L}\p{N}_]"
+EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
+IMAGE_FILE = rf"(?i){EDGE}\S+\.(png|jpg|jpeg|gif|bmp|webp){EDGE}"
+OFFICE_FILE = rf"(?i){EDGE}\S+\.(xlsx|xlsm|docx|pdf|csv){EDGE}"
+FILE_COUNT = rf"{EDGE}\d+\s*개\s*파일{EDGE}"
 DATE_FULL = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일"
-DATE_DASH = r"\b(20\d{2})[-/.](\d{1,2})[-/.](\d{1,2})\b"
-DATE_SHORT = r"\b(\d{1,2})/(\d{1,2})\b(?!\d)"
+DATE_DASH = rf"{EDGE}(20\d{{2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){EDGE}"
+DATE_SHORT = rf"{EDGE}(\d{{1,2}})/(\d{{1,2}}){EDGE}(?!\d)"
 CLOCK = r"(\d{1,2}):(\d{2})"
 
 # Hours as patterns, by the bucket they fall into (24-hour, with a morning mark, with an afternoon mark).
@@ -189,3 +193,8 @@ def anonymize(text: Column, policy: PrivacyPolicy = PRIVACY) -> Column:
     if not policy.show_times:
         text = generalize_times(text)
     return generalize_dates(text, policy)
+
+
+def preview(text: Column, n: int = 240, policy: PrivacyPolicy = PRIVACY) -> Column:
+    """A short de-identified extract on one line."""
+    return clip(squeeze(anonymize(F.coalesce(text, F.lit("")), policy)), n)

@@ -20,7 +20,10 @@ LINK = r"<(https?://[^|>]+)\|([^>]+)>"
 KEEP_LAYOUT = ("table", "excel_raw_table", "conversation")
 URL = r"https?://[^\s)]+"
 LINE_BREAK = "\r\n|\n|\r"
-EDGE_SPACE = r"^\s+|\s+$"
+# White space of any kind, beyond ASCII too (the pattern sign for it means ASCII only).
+SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+EDGE_SPACE = f"^{SPACE}+|{SPACE}+$"
+END_SPACE = f"{SPACE}+$"
 BOT_MENTION = r"<@([UW][A-Z0-9]+)(\|[^>]*)?>"
 DEBUG_FLAG = r"(?i)(^|\s)--debug\b"
 WIDE_SPACES = "[\u00a0\u2007\u202f\u2009\u200a\u200b]"
@@ -75,14 +78,14 @@ def drop_noise_lines(text: Column, min_chars: int = 1) -> Column:
 def truncate(text: Column, n: int | Column) -> Column:
     """Keep n characters, the last three being dots."""
     limit = n if isinstance(n, Column) else F.lit(n)
-    short = F.regexp_replace(F.substring(text, F.lit(1), (limit - 3).cast("int")), r"\s+$", "")
+    short = F.regexp_replace(F.substring(text, F.lit(1), (limit - 3).cast("int")), END_SPACE, "")
     cut = F.when(limit <= 3, F.substring(text, F.lit(1), limit.cast("int"))).otherwise(F.concat(short, F.lit("...")))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
 def clip(text: Column, n: int) -> Column:
     """Keep n characters, the last one being an ellipsis."""
-    cut = F.concat(F.regexp_replace(F.substring(text, 1, n - 1), r"\s+$", ""), F.lit("…"))
+    cut = F.concat(F.regexp_replace(F.substring(text, 1, n - 1), END_SPACE, ""), F.lit("…"))
     return F.when(F.length(text) <= n, text).otherwise(cut)
 
 
@@ -94,14 +97,14 @@ def head_and_tail(text: Column, n: int = 8000, tail: int = 200) -> Column:
 
 def rough_token_count(text: Column) -> Column:
     """The larger of the word count and length / 2.5; 0 for an empty text."""
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
     chars = F.greatest(F.lit(1), F.floor(F.length(text) / 2.5).cast("int"))
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(words, chars)).cast("long")
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank."""
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def clean_question(text: Column, max_chars: int) -> Column:

@@ -1,78 +1,55 @@
-"""Which texts contain which passages: one pass per text whatever the number of passages."""
+"""Which texts contain which passages, letter for letter: an equi-join on one word of each passage, then a check."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PASSAGE_BLOCK_BYTES = 32 << 20
-RESULT = "passage_id long, text_id long"
+from loresmith.session import broadcast_if_small, written
 
+BLANKS = r"\s+"
 
-def _automaton(ids: list[int], passages: list[str]) -> ahocorasick.Automaton:
-    machine = ahocorasick.Automaton()
-    for i, p in zip(ids, passages):
-        machine.add_word(p, (*machine.get(p, ()), i))
-    machine.make_automaton()
-    return machine
 
+def _anchors(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """(passage_id, anchor): the word inside each passage that the fewest texts hold.
 
-def _matches(machine: ahocorasick.Automaton, ids: list[int], texts: list[str]) -> pa.RecordBatch:
-    found = [(p, i) for i, t in zip(ids, texts) for p in {p for _, hit in machine.iter(t) for p in hit}]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([p for p, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())],
-        names=["passage_id", "text_id"],
-    )
+    Words are parted by blanks.  The first and the last word of a passage may be cut in a text, the ones between can't.
+    """
+    inner = F.filter(F.split("passage", BLANKS), lambda w, i: (i > 0) & (i < F.size(F.split("passage", BLANKS)) - 1) & (w != ""))
+    words = passages.select("passage_id", F.explode(F.array_distinct(inner)).alias("anchor"))
+    asked = broadcast_if_small(words.select("anchor").distinct())
+    counts = _words(texts).join(asked, "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("n"))
+    rated = words.join(counts, "anchor", "left").select(
+        "passage_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor").alias("best"))
+    return rated.groupBy("passage_id").agg(F.min("best")["anchor"].alias("anchor"))
 
 
-def containing_pairs(
-    passages: DataFrame, texts: DataFrame, max_block_bytes: int = PASSAGE_BLOCK_BYTES, slice_bytes: int = 256 << 20
-) -> DataFrame:
-    """Pairs (passage_id, text_id) where the text contains the passage, letter for letter.
+def _words(texts: DataFrame) -> DataFrame:
+    return texts.select("text_id", F.explode_outer(F.array_distinct(F.split("text", BLANKS))).alias("anchor"))
 
-    passages(passage_id, passage), texts(text_id, text).  The passages are measured: one automaton small enough for a
-    task is broadcast, otherwise passage blocks meet text slices through a shuffle.
-    """
-    passages = passages.where(F.length("passage") > 0)
-    texts = texts.where(F.col("text").isNotNull())
-    size = passages.agg(F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()[0]
-    if size <= max_block_bytes:
-        known = passages.select("passage_id", "passage").toArrow()
-        shared = passages.sparkSession.sparkContext.broadcast(
-            (known["passage_id"].to_pylist(), known["passage"].to_pylist())
-        )
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not shared.value[0]:
-                return
-            machine = _automaton(*shared.value)
-            for b in batches:
-                yield _matches(machine, b.column("text_id").to_pylist(), b.column("text").to_pylist())
+def _grams(texts: DataFrame, width: int) -> DataFrame:
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - width + 1))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substr("text", i, F.lit(width))))
+    return texts.select("text_id", F.explode_outer(grams).alias("anchor"))
 
-        return texts.select("text_id", "text").mapInArrow(scan, RESULT)
 
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, slices = -(-size // max_block_bytes), max(1, -(-total // slice_bytes))
-    p = passages.select(
-        "*",
-        F.pmod(F.xxhash64("passage_id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"),
-    )
-    t = texts.select(
-        "*",
-        F.pmod(F.xxhash64("text_id"), F.lit(slices)).alias("slice"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-    )
+def containing_pairs(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (passage_id, text_id) where the text contains the passage.
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.schema([("passage_id", "int64"), ("text_id", "int64")]).empty_table()
-        machine = _automaton(left["passage_id"].to_pylist(), left["passage"].to_pylist())
-        batch = _matches(machine, right["text_id"].to_pylist(), right["text"].to_pylist())
-        return pa.Table.from_batches([batch])
-
-    return p.groupBy("block", "slice").cogroup(t.groupBy("block", "slice")).applyInArrow(meet, RESULT)
+    passages(passage_id, passage), texts(text_id, text); ids of any type.  Empty passages and null texts are left out.
+    Texts that share the passage's rarest inner word are compared with it.  A passage of one or two words has no inner
+    word: its first letters, as many as the shortest such passage has, are looked up among the letter runs of the texts.
+    """
+    passages = passages.where(F.length("passage") > 0).select("passage_id", "passage").distinct()
+    texts = texts.where(F.col("text").isNotNull()).select("text_id", "text")
+    anchors = written(_anchors(passages, texts), "anchors")
+    pairs = _words(texts).join(broadcast_if_small(anchors), "anchor").select("passage_id", "text_id")
+    short = passages.join(anchors, "passage_id", "left_anti")
+    width = short.agg(F.min(F.length("passage"))).first()[0]
+    if width:
+        begun = broadcast_if_small(short.select("passage_id", F.substring("passage", 1, width).alias("anchor")))
+        pairs = pairs.unionByName(_grams(texts, width).join(begun, "anchor").select("passage_id", "text_id"))
+    pairs = written(pairs, "anchored").join(broadcast_if_small(passages), "passage_id")
+    both = texts.join(broadcast_if_small(pairs), "text_id")
+    return both.where(F.contains("text", F.col("passage"))).select("passage_id", "text_id").distinct()

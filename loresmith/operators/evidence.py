@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loresmith import vocab
 from loresmith.config import RETRIEVAL, RetrievalConfig
 from loresmith.functions.lookup import first_tag, lookup, mentions_any
-from loresmith.functions.text import clip, fixed, squeeze, truncate
+from loresmith.functions.privacy import preview
+from loresmith.functions.text import fixed, truncate
 from loresmith.operators.policy import role_of
 from loresmith.operators.scoring import is_topic_mismatch, specific_topics
 
@@ -302,7 +303,7 @@ def answer_format(questions: DataFrame, cards: DataFrame, text_col: str = "quest
 
 
 def source_listing(passed: DataFrame, per_role: int = 3, preview_chars: int = 240, body_col: str = "body") -> DataFrame:
-    """What to show for the cited rows: a label, a short preview and the role; at most ``per_role`` of each role."""
+    """What to show for the cited rows: a label, a short de-identified preview and the role; at most ``per_role`` of each role."""
     rows = with_role(passed)
     w = Window.partitionBy("query_id", "role").orderBy("rank_n")
     rows = rows.withColumn("source_no", F.row_number().over(w)).where(F.col("source_no") <= per_role)
@@ -314,7 +315,7 @@ def source_listing(passed: DataFrame, per_role: int = 3, preview_chars: int = 24
     label = F.when(kind.isNotNull(), F.concat(label, F.lit(" ("), kind, F.lit(")"))).otherwise(label)
     return rows.select(
         "query_id", "role", "source_no", "chunk_id", label.alias("label"),
-        clip(squeeze(F.coalesce(F.col(body_col), F.lit(""))), preview_chars).alias("preview"),
+        preview(F.col(body_col), preview_chars).alias("preview"),
         "content_type", "primary_topic", "topic_match", "date_match", "final_score",
     )
 

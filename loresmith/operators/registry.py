@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loresmith.functions.hashing import embedding_key
+from loresmith.functions.text import truncate
 from loresmith.operators.chunking import dedup_exact
 
 EMBED_CAP, EMBED_BATCH = 8000, 32  # fixed values
+BUCKET_ROWS = 100_000
 
 
 def skip_indexed(files: DataFrame, registry: DataFrame, order: str) -> DataFrame:
@@ -71,13 +75,16 @@ def embedding_input() -> Column:
 
 
 def embedding_worklist(
-    chunks: DataFrame, cache: DataFrame, provider: str, model: str, task: str, prefix: int = 2
+    chunks: DataFrame, cache: DataFrame, provider: str, model: str, task: str, prefix: int | None = None
 ) -> DataFrame:
-    """Distinct texts that are not cached, in batches of 32: key, text (capped), batch_id.
+    """Distinct texts that are not cached, in batches of 32: key, text (cut to the cap, with dots), batch_id.
 
-    Batches are numbered inside buckets of the key's first ``prefix`` hexadecimal digits (16 ** prefix buckets of equal
-    size, the key being a hash), so there is no global sort.
+    Batches are numbered inside buckets of the key's first ``prefix`` hexadecimal digits (buckets of equal size, the key
+    being a hash), so there is no global sort.  By default the chunks are counted: two digits, and as many more as keep
+    a bucket to about ``BUCKET_ROWS`` rows.
     """
+    if prefix is None:
+        prefix = max(2, math.ceil(math.log(max(1, chunks.count()) / BUCKET_ROWS, 16)))
     text = embedding_input()
     rows = chunks.select("chunk_id", text.alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("key", embedding_key(F.lit(provider), F.lit(model), F.lit(task), F.col("text")))
@@ -86,7 +93,7 @@ def embedding_worklist(
     todo = todo.withColumn("bucket", F.substring("key", 1, prefix))
     number = F.floor((F.row_number().over(w) - 1) / EMBED_BATCH).cast("string")
     return todo.select(
-        "key", F.substring("text", 1, EMBED_CAP).alias("text"), "chunk_id",
+        "key", truncate(F.col("text"), EMBED_CAP).alias("text"), "chunk_id",
         F.concat("bucket", F.lit("-"), number).alias("batch_id"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ class Corpus:
 
     texts: DataFrame
     vectors: DataFrame
-    chunks: DataFrame
+    chunks: DataFrame | Callable[[DataFrame], DataFrame]
     children: DataFrame | None = None
     index: keyword.KeywordIndex | None = None
 
@@ -42,7 +43,10 @@ def describe(fused: DataFrame, features: DataFrame, corpus: Corpus) -> DataFrame
     The candidates are measured and broadcast, so the chunk table is scanned once and never shuffled.  The result is
     again a few rows per question; it is written because the ranking stages read it more than once.
     """
-    rows = corpus.chunks.join(broadcast_if_small(fused), "chunk_id")
+    chunks = corpus.chunks
+    if callable(chunks):
+        chunks = chunks(broadcast_if_small(fused.select("chunk_id").distinct()))
+    rows = chunks.join(broadcast_if_small(fused), "chunk_id")
     return written(rows.join(broadcast_if_small(features), "query_id"), "described")
 
 
@@ -68,7 +72,8 @@ def rank(candidates: DataFrame, corpus: Corpus, as_of, cfg: RetrievalConfig = RE
         }
     ).drop("score_before")
     place = F.row_number().over(scoring.by_score("query_id", "passed"))
-    return rows.withColumn("rank_n", F.when(F.col("passed"), place))
+    # A few rows per question, read again for texts, evidence and context: written once.
+    return written(rows.withColumn("rank_n", F.when(F.col("passed"), place)), "ranked")
 
 
 def retrieve(

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_MAX_BYTES = 64 << 20
 BROADCAST_MAX_ROWS = 2_000_000
@@ -48,14 +49,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value: fixed for plain types, measured for strings and arrays, by its JSON for anything nested."""
+    value, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        size = F.size(value) * 8
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.octet_length(F.to_json(F.struct(value.alias("v"))))
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(8)).cast("long")
+
+
 def fits_broadcast(
     df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, max_rows: int = BROADCAST_MAX_ROWS
 ) -> bool:
-    """Measure ``df`` (never more than ``max_rows`` + 1 rows of it) and say whether it is safe to broadcast."""
-    width = sum(
-        (F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(8)) for c in df.columns), F.lit(16)
-    )
-    size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
+    """Measure ``df`` by partial sums (no row leaves its task) and say whether it is safe to broadcast."""
+    width = sum((_width(f) for f in df.schema.fields), F.lit(16))
+    size = df.agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
