@@ -1,89 +1,107 @@
-"""Nearest vectors for a table of query vectors: exact, and approximate by sign hashes."""
+"""Nearest vectors for a table of query vectors: exact, and by a scan of quantized vectors with exact scores for the best."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loresmith.functions.vectors import cosine
-from loresmith.session import broadcast_if_small
-
-QUERY_BLOCK_BYTES = 64 << 20  # largest query matrix one task may hold
-RESULT = "query_id long, chunk_id long, vector_score double"
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit rows of a list column; a zero row stays zero, so its similarity is 0."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(column), -1)
+from loresmith.session import broadcast_if_small, written
+
+QUERY_BLOCK = 8_192  # queries and vectors that meet in one group
+SLICE_ROWS = 65_536
+STRIPE_QUERIES, STRIPE_ROWS = 512, 8_192  # the largest matrix of similarities
+PLACES = 1e9  # similarities that agree in nine decimals are ties
+LEVELS = 127  # of a quantized component
+FURTHER = 1.4  # quantized candidates per wanted row that are scored exactly
+
+
+def _codes(df: DataFrame) -> DataFrame:
+    """``vector`` as one byte per component, with the ``scale`` that turns the codes into a unit vector."""
+    v = F.col("vector")
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    codes = F.transform(v, lambda x: F.coalesce(F.round(x.cast("double") / F.nullif(largest, F.lit(0.0)) * LEVELS), F.lit(0.0)).cast("tinyint"))
+    scale = F.coalesce(largest / (length * LEVELS), F.lit(0.0))
+    return df.withColumns({"scale": F.when(length > 0, scale).otherwise(0.0), "vector": codes})
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """Unit rows of the vectors or of their codes; a zero row stays zero."""
+    values = table.column("vector").combine_chunks()
+    m = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+    if "scale" in table.column_names:
+        return m * table.column("scale").to_numpy()[:, None]
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _best(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best chunks of one block for each query, ties broken by chunk id."""
-    sims = q @ c.T
-    order = np.lexsort((np.broadcast_to(cids, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(qids, order.shape[1])),
-            pa.array(cids[order].ravel()),
-            pa.array(np.take_along_axis(sims, order, axis=1).ravel()),
-        ],
-        names=["query_id", "chunk_id", "vector_score"],
-    )
-
-
-def _local_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Broadcast the (measured) query matrix; each corpus batch answers with at most k rows per query."""
-    table = queries.toArrow()
-    qids = table["query_id"].combine_chunks().to_numpy(zero_copy_only=False)
-    q = _matrix(table["vector"].combine_chunks())
-    shared = queries.sparkSession.sparkContext.broadcast((qids, q))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        for b in batches:
-            if b.num_rows and len(ids):
-                cids = b.column("chunk_id").to_numpy(zero_copy_only=False)
-                yield _best(ids, matrix, cids, _matrix(b.column("vector")), k)
-
-    return vectors.mapInArrow(scan, RESULT)
-
-
-def _grid_topk(queries: DataFrame, vectors: DataFrame, k: int, blocks: int, slices: int) -> DataFrame:
-    """Too many queries to broadcast: meet every (query block, corpus slice) once, each pair in its own task."""
-    # Own names on both sides: queries may have been taken from the corpus itself.
-    q = queries.select(
-        "query_id",
-        F.col("vector").alias("query_vector"),
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"),
-    )
-    v = vectors.select(
-        "chunk_id",
-        F.col("vector").alias("chunk_vector"),
-        F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).alias("slice"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-    )
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.schema([("query_id", "int64"), ("chunk_id", "int64"), ("vector_score", "float64")]).empty_table()
-        batch = _best(
-            left["query_id"].combine_chunks().to_numpy(zero_copy_only=False),
-            _matrix(left["query_vector"].combine_chunks()),
-            right["chunk_id"].combine_chunks().to_numpy(zero_copy_only=False),
-            _matrix(right["chunk_vector"].combine_chunks()),
-            k,
-        )
-        return pa.Table.from_batches([batch])
-
-    return q.groupBy("block", "slice").cogroup(v.groupBy("block", "slice")).applyInArrow(meet, RESULT)
+def _best(q: np.ndarray, c: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) of the k best rows of each query; ties go to the row with the smaller ``order``."""
+    found = []
+    for a in range(0, len(q), STRIPE_QUERIES):
+        left = q[a : a + STRIPE_QUERIES]
+        keys, at = np.zeros((len(left), 0), np.int64), np.zeros((len(left), 0), np.int64)
+        for b in range(0, len(c), STRIPE_ROWS):
+            right = c[b : b + STRIPE_ROWS]
+            # One number per pair: similarity first, place of the id after it.
+            key = -np.rint(left @ right.T * PLACES).astype(np.int64) * len(c) + order[b : b + STRIPE_ROWS]
+            few = min(k, key.shape[1])
+            pick = np.argpartition(key, few - 1, axis=1)[:, :few]
+            keys = np.concatenate([keys, np.take_along_axis(key, pick, axis=1)], axis=1)
+            at = np.concatenate([at, pick + b], axis=1)
+        pick = np.argsort(keys, axis=1)[:, :k]
+        at = np.take_along_axis(at, pick, axis=1)
+        rows = np.repeat(np.arange(len(left)), at.shape[1])
+        found.append((rows + a, at.ravel(), np.einsum("ij,ij->i", left[rows], c[at.ravel()])))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _meet(asked: pa.Table, given: pa.Table, k: int) -> pa.Table:
+    if not asked.num_rows or not given.num_rows:
+        a = b = np.zeros(0, np.int64)
+        score = np.zeros(0)
+    else:
+        ids = given.column("chunk_id").combine_chunks()
+        order = np.empty(len(ids), np.int64)
+        order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        a, b, score = _best(_matrix(asked), _matrix(given), order, k)
+    take = lambda t, name, at: t.column(name).combine_chunks().take(pa.array(at, pa.int64()))
+    return pa.table({
+        "query_id": take(asked, "query_id", a), "chunk_id": take(given, "chunk_id", b), "vector_score": pa.array(score, pa.float64())})
+
+
+def _scan(
+    queries: DataFrame, vectors: DataFrame, k: int, query_block: int, slice_rows: int, quantized: bool
+) -> DataFrame:
+    """The best k of each query in each slice.  Blocks of queries meet numbered slices of vectors of the same length."""
+    # Columns of their own on both sides: queries may have been taken from the vectors themselves.
+    own = lambda df, name: df.select(
+        F.col(name).alias(name), F.col("vector").alias("vector"), F.size("vector").alias("dim")).where("dim > 0")
+    queries, vectors = own(queries, "query_id"), own(vectors, "chunk_id")
+    if quantized:
+        queries, vectors = _codes(queries), _codes(vectors)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n_queries, n_vectors = queries.count(), vectors.count()
+    blocks = max(1, math.ceil(n_queries / query_block))
+    slices = max(1, math.ceil(n_vectors / slice_rows), min(cores, math.ceil(n_vectors / 1024)))
+    # Any row may be in any group, and a task that runs again numbers its rows as before.
+    number = F.monotonically_increasing_id()
+    left = queries.withColumn("block", F.pmod(number, F.lit(blocks))).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    right = vectors.withColumn("slice", F.pmod(number, F.lit(slices))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    schema = T.StructType([queries.schema["query_id"], vectors.schema["chunk_id"], T.StructField("vector_score", T.DoubleType())])
+    keys = ("dim", "block", "slice")
+    meet = partial(_meet, k=k)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: meet(a, b), schema)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -94,62 +112,28 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def vector_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    max_block_bytes: int = QUERY_BLOCK_BYTES,
-    slice_bytes: int = 256 << 20,
+    queries: DataFrame, vectors: DataFrame, k: int, query_block: int = QUERY_BLOCK, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Exact cosine top ``k``: queries(query_id, vector) x vectors(chunk_id, vector).
+    """Exact cosine top ``k``: queries(query_id, vector) x vectors(chunk_id, vector), ids of any type.
 
-    Filter ``vectors`` first to search a part of them.  The query side is measured: one matrix small enough for a task
-    is broadcast, a larger one is cut into blocks that meet corpus slices through a shuffle.
+    Filter ``vectors`` first to search a part of them.  Every query visits every slice; both sides of a group and the
+    matrix of similarities are bounded whatever the tables hold.  Vectors of another length than the query's are not
+    compared with it.
     """
-    queries = queries.select(F.col("query_id").cast("long"), "vector").where(F.size("vector") > 0)
-    vectors = vectors.select(F.col("chunk_id").cast("long"), "vector").where(F.size("vector") > 0)
-    size = queries.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
-    if size <= max_block_bytes:
-        return _ranked(_local_topk(queries, vectors, k), k)
-    corpus = vectors.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
-    blocks = -(-size // max_block_bytes)
-    return _ranked(_grid_topk(queries, vectors, k, blocks, max(1, -(-corpus // slice_bytes))), k)
-
-
-def sign_hashes(df: DataFrame, dim: int, tables: int, bits: int, seed: int = 17) -> DataFrame:
-    """Add ``hashes``: per table the side of ``bits`` random planes the vector lies on."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    weights = (1 << np.arange(bits, dtype=np.int64)).astype(np.int64)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            side = (_matrix(b.column("vector")) @ planes > 0).reshape(b.num_rows, tables, bits)
-            codes = (side * weights).sum(axis=2)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(list(codes), pa.list_(pa.int64()))], names=[*b.schema.names, "hashes"]
-            )
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(code, f"{fields}, hashes array<bigint>")
-
-
-def vector_candidates_approx(
-    queries: DataFrame, vectors: DataFrame, dim: int, tables: int = 64, bits: int = 8
-) -> DataFrame:
-    """Distinct (query_id, chunk_id) pairs that share a hash in some table.
+    return _ranked(_scan(queries, vectors, k, query_block, slice_rows, False), k)
 
-    The query hashes are measured and broadcast, so a bucket with many vectors is never gathered in one task.
-    """
-    q = sign_hashes(queries.select("query_id", "vector"), dim, tables, bits)
-    v = sign_hashes(vectors.select("chunk_id", "vector"), dim, tables, bits)
-    q = q.select("query_id", F.col("vector").alias("query_vector"), F.posexplode("hashes").alias("tab", "hash"))
-    v = v.select("chunk_id", "vector", F.posexplode("hashes").alias("tab", "hash"))
-    return v.join(broadcast_if_small(q), ["tab", "hash"]).dropDuplicates(["query_id", "chunk_id"])
 
+def vector_candidates_approx(queries: DataFrame, vectors: DataFrame, k: int, further: float = FURTHER) -> DataFrame:
+    """(query_id, chunk_id): the ``further * k`` best of each query by quantized vectors, an eighth of the size."""
+    many = math.ceil(further * k)
+    found = _ranked(_scan(queries, vectors, many, QUERY_BLOCK, SLICE_ROWS, True), many)
+    return written(found.select("query_id", "chunk_id"), "near")
 
-def vector_topk_approx(
-    queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = 64, bits: int = 8
-) -> DataFrame:
-    """Approximate cosine top ``k``: exact similarity, but only for pairs that share a sign hash."""
-    pairs = vector_candidates_approx(queries, vectors, dim, tables, bits)
-    found = pairs.select("query_id", "chunk_id", cosine(F.col("query_vector"), F.col("vector")).alias("vector_score"))
-    return _ranked(found, k)
+
+def vector_topk_approx(queries: DataFrame, vectors: DataFrame, k: int, further: float = FURTHER) -> DataFrame:
+    """Cosine top ``k`` with exact similarities, among the candidates of the quantized scan."""
+    pairs = vector_candidates_approx(queries, vectors, k, further)
+    asked = queries.select("query_id", F.col("vector").alias("query_vector"))
+    rows = vectors.select("chunk_id", "vector").join(broadcast_if_small(pairs), "chunk_id")
+    found = rows.join(broadcast_if_small(asked), "query_id")
+    return _ranked(found.select("query_id", "chunk_id", cosine(F.col("query_vector"), F.col("vector")).alias("vector_score")), k)
