@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -102,7 +102,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray = WORD
     Only 8 bytes per word stay; a very long row is swept in blocks.
     """
     hashes, firsts = [], []
-    for start, end in _blocks(data, is_word, 2 * CHUNK_BYTES):
+    for start, end in _blocks(data, is_word, CHUNK_BYTES):
         inner = bounds[(bounds > start) & (bounds < end)] - start
         begins, ends = word_spans(data[start:end], np.concatenate(([0], inner, [end - start])), is_word)
         hashes.append(span_hashes(data[start:end], begins, ends))

@@ -45,3 +45,15 @@ def held_out(doc_id: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, LOWER_FROM, LOWER_TO)
+
+
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of a few megabytes, however long the texts are; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) if given else BATCH_BYTES + 1
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

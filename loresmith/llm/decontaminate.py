@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresmith.llm.bytesweep import LOWER, WORD_BYTES, chunks, shingle_hashes, word_hashes
-from loresmith.llm.common import packed, text_of, unpacked
+from loresmith.llm.common import bounded_batches, packed, text_of, unpacked
 from loresmith.session import broadcast_if_small, written
 
 SHINGLE = 5
@@ -154,6 +154,7 @@ def _matches(
     docs: DataFrame, items: DataFrame, threshold: float, text: str, doc_id: str, item_text: str, item_id: str
 ) -> DataFrame:
     spark = docs.sparkSession
+    bounded_batches(spark)
     sketches = written(item_sketches(items, item_text, item_id, threshold), "item-sketches")
     widths = [r["width"] for r in sketches.select("width").distinct().collect()]  # at most SHINGLE values
     bitmap = spark.sparkContext.broadcast(probe_filter(sketches))

@@ -8,7 +8,7 @@ gives the label probabilities of each word; a document has the language with the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresmith.llm.bytesweep import LOWER, WORD_BYTES, mixed, pieces, span_hasher, word_spans
-from loresmith.llm.common import held_out, packed, text_of, unpacked
+from loresmith.llm.common import bounded_batches, held_out, packed, text_of, unpacked
 from loresmith.llm.learning import training_rows
 
 PER_LANG = 600  # documents of each language that are learned from, at most
@@ -233,8 +233,9 @@ def shares(texts: pa.Array, model: dict) -> np.ndarray:
     return total / np.maximum(count, 1)[:, None]
 
 
-def predicted(docs: DataFrame, text: str, doc_id: str, lang: str, per_lang: int) -> Column:
-    """Struct column (lang, score) over a string column named ``body``."""
+def predictor(docs: DataFrame, text: str, doc_id: str, lang: str, per_lang: int) -> Callable[[Column], Column]:
+    """Function from a text column without nulls to the struct (lang, score)."""
+    bounded_batches(docs.sparkSession)
     langs, model = language_model(docs, text, doc_id, lang, per_lang)
     sent = docs.sparkSession.sparkContext.broadcast((langs, model))
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -251,16 +252,11 @@ def predicted(docs: DataFrame, text: str, doc_id: str, lang: str, per_lang: int)
             [pa.array([names[b] for b in best], pa.string()), pa.array(np.minimum(1.0, found[np.arange(len(best)), best]))],
             names=["lang", "score"])
 
-    return label(F.col("body"))
+    def judge(body: Column) -> Column:
+        nothing = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+        return F.when(body.rlike(r"\p{L}"), label(body)).otherwise(nothing)
 
-
-def _labelled(docs: DataFrame, text: str, doc_id: str, lang: str, per_lang: int) -> DataFrame:
-    rows = docs.select(packed(docs).alias("row"), F.col(doc_id).alias("id"), text_of(docs, text).alias("body"))
-    judged = rows.withColumn("found", predicted(docs, text, doc_id, lang, per_lang))
-    readable = F.col("body").rlike(r"\p{L}")
-    return judged.select(
-        "row", "id", F.when(readable, F.col("found.lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(readable, F.col("found.score")).otherwise(0.0).alias("score"))
+    return judge
 
 
 def identify(
@@ -273,8 +269,10 @@ def identify(
     letter, or where nothing could be learned.  The score is the expected share of the language among the words, 0 to 1;
     ties go to the first language by name.  Rows equal in text are judged alike.  Empty input gives an empty result.
     """
-    return _labelled(docs, text, doc_id, lang, per_lang).select(
-        F.col("id").alias(doc_id), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+    judge = predictor(docs, text, doc_id, lang, per_lang)
+    judged = docs.select(F.col(doc_id).alias("id"), judge(text_of(docs, text)).alias("found"))
+    return judged.select(
+        F.col("id").alias(doc_id), held_out(F.col("id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
 
 
 def with_language(
@@ -282,5 +280,9 @@ def with_language(
     per_lang: int = PER_LANG,
 ) -> DataFrame:
     """Rows of ``docs`` whose language is found with ``min_score`` or more; columns stay as they are."""
-    kept = _labelled(docs, text, doc_id, lang, per_lang).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    judge = predictor(docs, text, doc_id, lang, per_lang)
+    # The text stands once in a row on its way past Python: inside the packed row.
+    rows = docs.select(packed(docs).alias("row"))
+    judged = rows.select("row", judge(F.coalesce(F.col("row")[text].cast("string"), F.lit(""))).alias("found"))
+    kept = judged.where((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= min_score))
     return kept.select(*unpacked("row", docs))

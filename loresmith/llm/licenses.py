@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresmith.llm.bytesweep import LOWER, WORD_BYTES, chunks, word_hashes
-from loresmith.llm.common import text_of
+from loresmith.llm.common import bounded_batches, text_of
 
 #: Phrases and labels of the base scan.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -209,6 +209,7 @@ def scan_licenses(
     none.  ``score`` is the largest covered share of any template or phrase.  A null text is empty: no words, score 0.
     Repeated rows give repeated results; other columns are not read; empty input gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     given = list(TEMPLATES if templates is None else templates), dict(BASE_PHRASES if phrases is None else phrases)
     kinds = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long",
              "base_labels": "string", "labels": "string", "score": "double"}

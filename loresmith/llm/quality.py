@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresmith.llm.bytesweep import byte_class, pieces, row_sums, span_hashes, word_spans
-from loresmith.llm.common import held_out, text_of
+from loresmith.llm.common import bounded_batches, held_out, text_of
 from loresmith.llm.learning import gathered, sigmoid, training_rows
 
 PER_LABEL = 1500  # labelled documents of each label that are learned from, at most
@@ -116,6 +116,7 @@ def train(labels: list[int], features: list[tuple[np.ndarray, np.ndarray]]) -> n
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, per_label: int) -> np.ndarray:
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
     return train(*gathered(training_rows(docs, known, per_label, text, doc_id), document_features))
 

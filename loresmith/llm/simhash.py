@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loresmith.llm.common import packed, text_of, unpacked
+from loresmith.llm.common import bounded_batches, packed, text_of, unpacked
 from loresmith.llm.components import components
 from loresmith.session import broadcast_if_small, written
 
@@ -66,6 +66,7 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, text_hash, fp) per row, written: the only pass over the texts."""
+    bounded_batches(docs.sparkSession)
     body = text_of(docs, text)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), _fingerprints(body).alias("fp"))
     return written(rows, "fingerprints")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresmith.llm.bytesweep import BASE, LOWER, WORD_BYTES, mixed, pieces, span_hashes, word_spans
-from loresmith.llm.common import held_out, text_of
+from loresmith.llm.common import bounded_batches, held_out, text_of
 from loresmith.llm.learning import gathered, sigmoid, training_rows
 
 POSITIVES = 2000  # confirmed texts that are learned from, at most
@@ -118,6 +118,7 @@ def toxicity_model(
     docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, positives: int, unlabelled: int, prior: float | None
 ) -> np.ndarray:
     """Weight of each hashed word, with the constant at the end."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
     known = known.where("label IN (0, 1) AND id IS NOT NULL").where(~held_out(F.col("id")))
     if prior is None:
