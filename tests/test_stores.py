@@ -1,6 +1,7 @@
 """Files, registry, streams: what is new, what is kept, and that a replay adds nothing."""
 
 import os
+import shutil
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -57,6 +58,26 @@ def test_incremental_ingest_twice(spark, tmp_path):
     assert spark.read.parquet(f"{target}/registry").select("file_hash").distinct().count() == 6
 
 
+def test_replay_between_registry_and_log(spark, tmp_path):
+    """The states are those of the batch, and a file without a decoder has its row."""
+    root = tree(tmp_path)
+    with open(f"{root}/misc/sheet.docx", "wb") as f:
+        f.write(b"PK")
+    states = []
+    for turn in ("whole", "replayed"):
+        target = str(tmp_path / turn)
+        if turn == "replayed":  # everything but the log was written
+            for name in ("chunks", "registry"):
+                shutil.copytree(tmp_path / "whole" / name, tmp_path / turn / name)
+        streams.ensure_table(spark, f"{target}/registry", streams.REGISTRY_SCHEMA)
+        streams.ensure_table(spark, f"{target}/log", streams.LOG_SCHEMA)
+        streams.ingest_batch(files.read_files(spark, root), 0, root, target, 2026, streams.CATEGORY_FOLDERS, "r")
+        log = spark.read.schema(streams.LOG_SCHEMA).parquet(f"{target}/log")
+        states.append(sorted((r["file_name"], r["status"], r["reason"] or "") for r in log.collect()))
+    assert states[0] == states[1] and ("sheet.docx", "failed", "no decoder for .docx") in states[0]
+    assert sum(status == "indexed" for _, status, _ in states[0]) == 5
+
+
 def test_replayed_batch_adds_nothing(spark, tmp_path):
     root, target = tree(tmp_path), str(tmp_path / "kb")
     streams.ensure_table(spark, f"{target}/registry", streams.REGISTRY_SCHEMA)
