@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +192,20 @@ def corpus(spark: SparkSession, sf: str) -> retrieval.Corpus:
     return retrieval.Corpus(texts, search.vectors(spark, sf), lambda ids: chunks(spark, sf, ids), children(spark, sf))
 
 
+@REG.add(
+    "r6_vector_only",
+    f"""WITH {search.SQL_VECTOR}
+        SELECT query_id, chunk_id, vector_rank, round(1.0 / (60 + vector_rank), 6) AS rrf_score, round(greatest(vector_score, 0.0), 6) AS score
+        FROM vector""",
+)
+def r6_vector_only(spark, sf):
+    """Candidates with keyword search switched off."""
+    found = retrieval.search(
+        questions(spark, sf), search.query_vectors(spark, sf), corpus(spark, sf), replace(RETRIEVAL, hybrid=False))
+    return found.select(
+        "query_id", "chunk_id", "vector_rank", F.round("rrf_score", 6).alias("rrf_score"), F.round("score", 6).alias("score"))
+
+
 def described(spark: SparkSession, sf: str) -> DataFrame:
     c = corpus(spark, sf)
     fused = retrieval.search(questions(spark, sf), search.query_vectors(spark, sf), c)

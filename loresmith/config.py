@@ -17,6 +17,7 @@ class RetrievalConfig:
     diversity_lambda: float = 0.7
     same_file_penalty: float = 0.70
     same_section_penalty: float = 0.90
+    hybrid: bool = True  # off: vector candidates only
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     bm25_top_k: int = 20

@@ -30,7 +30,11 @@ class Corpus:
 def search(questions: DataFrame, query_vectors: DataFrame, corpus: Corpus, cfg: RetrievalConfig = RETRIEVAL) -> DataFrame:
     """Fused candidates.  A few rows per question, written once because several later steps read them."""
     found = nearest.vector_topk(query_vectors, corpus.vectors, cfg.over_fetch)
-    if corpus.index is not None:
+    if not cfg.hybrid:
+        kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+        none = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, bm25_rank int, bm25_score double, bm25_norm double"
+        words = questions.sparkSession.createDataFrame([], none)
+    elif corpus.index is not None:
         words = keyword.bm25_topk(questions, corpus.index, cfg.bm25_top_k, cfg)
     else:
         words = keyword.bm25_scan(questions, corpus.texts, cfg.bm25_top_k, cfg, doc_id_col="chunk_id")
