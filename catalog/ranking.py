@@ -775,7 +775,7 @@ def e8_request_gate(spark, sf):
     "a5_score_distribution",
     f"""WITH {SQL_RANKED}
         SELECT uploaded_category, count(*) AS n, floor(avg(final_score) * 1e6 + 0.5) / 1e6 AS mean_score,
-               floor(quantile_cont(final_score, 0.5) * 1e6 + 0.5) / 1e6 AS median_score, floor(max(final_score) * 1e6 + 0.5) / 1e6 AS max_score,
+               floor(quantile_disc(final_score, 0.5) * 1e6 + 0.5) / 1e6 AS median_score, floor(max(final_score) * 1e6 + 0.5) / 1e6 AS max_score,
                floor(count(*) / (SELECT count(*) FROM final) * 1e6 + 0.5) / 1e6 AS share
         FROM final GROUP BY uploaded_category""",
 )

@@ -137,7 +137,8 @@ def coerce_cards(parsed: DataFrame) -> DataFrame:
     document_date, display_date and input_topic_tags (merged into the tags of slack cards).  A card keeps its number
     even when entries before it are not objects.
     """
-    rows = parsed.where(F.col("parse_status") == "ok").select("*", F.posexplode_outer("cards").alias("card_no", "card"))
+    # Only answers that are ok have cards.  A filter on the status would be pushed below and parse the answers there again.
+    rows = parsed.select("*", F.posexplode_outer("cards").alias("card_no", "card"))
     rows = rows.where(F.startswith(F.schema_of_variant("card"), F.lit("OBJECT")))
     fallback = F.when(F.col("kind") == "slack", "issue").otherwise("workflow")
     named = F.lower(strip(_text("card_type")))

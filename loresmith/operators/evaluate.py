@@ -55,11 +55,15 @@ def embedding_compare(pairs: DataFrame) -> DataFrame:
 
 
 def score_distribution(results: DataFrame, by: str = "uploaded_category", score: str = "final_score") -> DataFrame:
-    """Count, share, mean and exact quartiles of the scores of each category."""
+    """Count, share, mean, median and maximum of the scores of each category.
+
+    The median is a score that occurs: exact up to about 10,000 scores of a category, beyond that within 0.01 % of their
+    ranks, so that no task has to hold all scores.
+    """
     grouped = results.groupBy(by).agg(
         F.count("*").alias("n"),
         F.avg(score).alias("mean_score"),
-        F.percentile(score, 0.5).alias("median_score"),
+        F.percentile_approx(score, 0.5, 10_000).alias("median_score"),
         F.max(score).alias("max_score"),
     )
     return grouped.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # one row per category
