@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from loresmith import vocab
 from loresmith.config import PRIVACY, PrivacyPolicy
 from loresmith.functions.lookup import let, lookup
-from loresmith.functions.text import clip, squeeze
+from loresmith.functions.text import SPACE, SPACES, clip, squeeze
 
 # --- fixed values: patterns ------------------------------------------------------------------------------------------
 NAME_TEAM = r"([가-힣]{2,4})\[([^\[\]]{1,30})\]"
-AT_MENTION = r"@\s*([가-힣A-Za-z0-9_]{2,30})(?:\[([^\[\]]{1,30})\])?"
+AT_MENTION = rf"@{SPACE}*([가-힣A-Za-z0-9_]{{2,30}})(?:\[([^\[\]]{{1,30}})\])?"
 INNER_MENTION = r"<@[A-Z0-9]+>"
-URL = r"https?://[^\s)>\]]+"
-DRIVE = r"(drive\.google\.com|docs\.google\.com)[^\s)>\]]*"
+URL = rf"https?://[^{SPACES})>\]]+"
+DRIVE = rf"(drive\.google\.com|docs\.google\.com)[^{SPACES})>\]]*"
 # Word edges between letters, digits and underscores of any script; the short sign for them depends on the Java version.
 WORD = r"[\p{L}\p{N}_]"
 EDGE = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
-IMAGE_FILE = rf"(?i){EDGE}\S+\.(png|jpg|jpeg|gif|bmp|webp){EDGE}"
-OFFICE_FILE = rf"(?i){EDGE}\S+\.(xlsx|xlsm|docx|pdf|csv){EDGE}"
-FILE_COUNT = rf"{EDGE}\d+\s*개\s*파일{EDGE}"
-DATE_FULL = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일"
+IMAGE_FILE = rf"(?i){EDGE}[^{SPACES}]+\.(png|jpg|jpeg|gif|bmp|webp){EDGE}"
+OFFICE_FILE = rf"(?i){EDGE}[^{SPACES}]+\.(xlsx|xlsm|docx|pdf|csv){EDGE}"
+FILE_COUNT = rf"{EDGE}\d+{SPACE}*개{SPACE}*파일{EDGE}"
+DATE_FULL = rf"(\d{{4}}){SPACE}*년{SPACE}*(\d{{1,2}}){SPACE}*월{SPACE}*(\d{{1,2}}){SPACE}*일"
 DATE_DASH = rf"{EDGE}(20\d{{2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){EDGE}"
 DATE_SHORT = rf"{EDGE}(\d{{1,2}})/(\d{{1,2}}){EDGE}(?!\d)"
 CLOCK = r"(\d{1,2}):(\d{2})"

@@ -26,14 +26,21 @@ def answer_intent(text: Column, dictionary=vocab.ANSWER_INTENTS) -> Column:
     return first_tag(F.lower(text), dictionary)
 
 
-def query_features(questions: DataFrame, default_year: int, text_col: str = "question") -> DataFrame:
-    """Add query_date, query_topics, query_topic, query_intent and the four class flags."""
+def query_features(
+    questions: DataFrame,
+    default_year: int,
+    text_col: str = "question",
+    topics=vocab.QUERY_TOPICS,
+    intents=vocab.QUERY_INTENTS,
+    classes=vocab.QUERY_CLASSES,
+) -> DataFrame:
+    """Add query_date, query_topics, query_topic, query_intent and a flag for each of the classes."""
     text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
     return questions.withColumns(
         {
             "query_date": find_date(head_lines(text), default_year)["d"],
-            "query_topics": query_topics(text),
-            "query_intent": query_intents(text),
-            **{name: query_class(text, name) for name in vocab.QUERY_CLASSES},
+            "query_topics": query_topics(text, topics),
+            "query_intent": query_intents(text, intents),
+            **{name: query_class(text, name, classes) for name in classes},
         }
     ).withColumn("query_topic", F.get("query_topics", F.lit(0)))

@@ -13,15 +13,16 @@ from loresmith import vocab
 from loresmith.functions.lookup import let
 
 # --- fixed values: patterns ------------------------------------------------------------------------------------------
+# White space of any kind, beyond ASCII too (the pattern sign for it means ASCII only).
+SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{SPACES}]"
 INVISIBLE = "[\u200b-\u200f\u202a-\u202e\ufeff]"
 MENTION = "<@[A-Z0-9]+>"
 CHANNEL = r"<#[A-Z0-9]+\|([^>]+)>"
 LINK = r"<(https?://[^|>]+)\|([^>]+)>"
 KEEP_LAYOUT = ("table", "excel_raw_table", "conversation")
-URL = r"https?://[^\s)]+"
+URL = rf"https?://[^{SPACES})]+"
 LINE_BREAK = "\r\n|\n|\r"
-# White space of any kind, beyond ASCII too (the pattern sign for it means ASCII only).
-SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 EDGE_SPACE = f"^{SPACE}+|{SPACE}+$"
 END_SPACE = f"{SPACE}+$"
 BOT_MENTION = r"<@([UW][A-Z0-9]+)(\|[^>]*)?>"
@@ -66,7 +67,7 @@ def clean_text(text: Column, content_type: Column, normalize: bool = True) -> Co
 
 def shorten_urls(text: Column) -> Column:
     """Every URL becomes ``[link:domain]``."""
-    named = F.regexp_replace(text, r"https?://([^\s)/?#]+)[^\s)]*", "[link:$1]")
+    named = F.regexp_replace(text, rf"https?://([^{SPACES})/?#]+)[^{SPACES})]*", "[link:$1]")
     return strip(F.regexp_replace(named, URL, "[link:link]"))
 
 
@@ -107,12 +108,12 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def clean_question(text: Column, max_chars: int) -> Column:
+def clean_question(text: Column, max_chars: int, prefixes=vocab.INFORMAL_PREFIXES) -> Column:
     """struct(question, debug): mentions, leading marks, informal prefix and flag removed, then clipped."""
     s = F.regexp_replace(F.coalesce(text, F.lit("")), BOT_MENTION, " ")
     s = strip(F.regexp_replace(s, "\u200b", ""))
     s = squeeze(F.regexp_replace(s, r"^[\s,.:;>]+", ""))
-    called = F.coalesce(*[F.when(F.startswith(F.lower(s), F.lit(p)), len(p)) for p in vocab.INFORMAL_PREFIXES])
+    called = F.coalesce(*[F.when(F.startswith(F.lower(s), F.lit(p)), len(p)) for p in prefixes])
     rest = F.regexp_replace(F.substring(s, called + 1, F.length(s)), r"^[ ,.:;>]+", "")
     s = F.when(called.isNotNull(), rest).otherwise(s)
     debug = s.rlike(DEBUG_FLAG)
@@ -126,31 +127,30 @@ def _heading_body(line: Column) -> Column:
     return strip(F.regexp_replace(body, r"\s+#+\s*$", ""))
 
 
-def _is_cut_heading(body: Column) -> Column:
+def _is_cut_heading(body: Column, headings) -> Column:
     """The heading text, numbering and colon removed, is one of the closing headings."""
     name = strip(F.regexp_replace(F.regexp_replace(body, r"^[\d\.\)\s]+", ""), "[ :：]+$", ""))
     packed = F.regexp_replace(name, " ", "")
     return F.coalesce(
-        name.isin(*vocab.ANSWER_CUT_HEADINGS)
-        | packed.isin(*[h.replace(" ", "") for h in vocab.ANSWER_CUT_HEADINGS]),
+        name.isin(*headings) | packed.isin(*[h.replace(" ", "") for h in headings]),
         F.lit(False),
     )
 
 
-def _cut_line(lines: Column, i: Column) -> Column:
+def _cut_line(lines: Column, i: Column, headings) -> Column:
     line = F.get(lines, i)
     bare = F.regexp_replace(strip(F.regexp_replace(strip(line), "[*_`~]+", "")), "[ :：]+$", "")
     following = strip(F.coalesce(F.get(lines, i + 1), F.lit("")))
     lists_next = (following == "") | following.rlike(r"^([-•*·]|\d+[\.\)])")
     emphasized = strip(line).rlike(EMPHASIS_LINE)
-    return _is_cut_heading(_heading_body(line)) | (_is_cut_heading(bare) & (emphasized | lists_next))
+    return _is_cut_heading(_heading_body(line), headings) | (_is_cut_heading(bare, headings) & (emphasized | lists_next))
 
 
-def trim_answer(text: Column) -> Column:
+def trim_answer(text: Column, headings=vocab.ANSWER_CUT_HEADINGS) -> Column:
     """Cut an answer where its closing sections (sources, open points, diagnostics) begin."""
 
     def cut(lines: Column) -> Column:
-        marks = F.transform(lines, lambda line, i: _cut_line(lines, i))
+        marks = F.transform(lines, lambda line, i: _cut_line(lines, i, headings))
         at = F.array_position(marks, True)
         return let(at, lambda p: F.when(p > 0, F.slice(lines, F.lit(1), (p - 1).cast("int"))).otherwise(lines))
 
@@ -175,9 +175,9 @@ def tidy_blanks(text: Column) -> Column:
     return strip(F.regexp_replace(s, "\n{3,}", "\n\n"))
 
 
-def markup_convert(text: Column) -> Column:
+def markup_convert(text: Column, headings=vocab.ANSWER_CUT_HEADINGS) -> Column:
     """The answer as a chat message: closing sections cut, headings bold, blanks tidy."""
-    return tidy_blanks(headings_to_bold(trim_answer(text)))
+    return tidy_blanks(headings_to_bold(trim_answer(text, headings)))
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -277,7 +277,14 @@ def use_cases(value: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda v: v.isin(*vocab.USE_CASES)))
 
 
-def answer_format(questions: DataFrame, cards: DataFrame, text_col: str = "question") -> DataFrame:
+def answer_format(
+    questions: DataFrame,
+    cards: DataFrame,
+    text_col: str = "question",
+    glossary_words=vocab.GLOSSARY_WORDS,
+    intents=vocab.ANSWER_INTENTS,
+    implied_by=vocab.CARD_TYPE_USE_CASE,
+) -> DataFrame:
     """Answer template per question.
 
     Glossary words or a glossary card; else the question's intent; else the first card's use case; else the first card
@@ -285,7 +292,7 @@ def answer_format(questions: DataFrame, cards: DataFrame, text_col: str = "quest
     answer_use_cases (text list).
     """
     kind = F.lower(F.coalesce("card_type", F.lit("")))
-    implied = lookup(kind, vocab.CARD_TYPE_USE_CASE, F.lit(None).cast("string"))
+    implied = lookup(kind, implied_by, F.lit(None).cast("string"))
     stated = F.get(use_cases(F.col("answer_use_cases")), F.lit(0))
     facts = cards.groupBy("query_id").agg(
         F.max(kind == "glossary").alias("has_glossary"),
@@ -293,11 +300,11 @@ def answer_format(questions: DataFrame, cards: DataFrame, text_col: str = "quest
         F.min_by(implied, F.when(implied.isNotNull(), F.col("rank_n"))).alias("implied"),
     )
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    glossary = F.coalesce("has_glossary", F.lit(False)) | mentions_any(low, vocab.GLOSSARY_WORDS)
+    glossary = F.coalesce("has_glossary", F.lit(False)) | mentions_any(low, glossary_words)
     return questions.join(facts, "query_id", "left").select(
         "query_id",
         F.when(glossary, "glossary")
-        .otherwise(F.coalesce(first_tag(low, vocab.ANSWER_INTENTS), "stated", "implied", F.lit("freeform_grounded")))
+        .otherwise(F.coalesce(first_tag(low, intents), "stated", "implied", F.lit("freeform_grounded")))
         .alias("answer_format"),
     )
 

@@ -128,6 +128,7 @@ QUERY_CLASSES = {
         "정산", "세금계산서", "인보이스", "sf", "모비사인", "입금",
         "광고주 공유용", "공유용 정산", "재무팀", "발행 요청",
     ),
+    # Fixed values; one word of the original list, a name of a person, is left out on purpose.
     "is_todo": ("오늘", "어제", "todo", "스레드", "말씀", "피드백", "오늘자", "당일", "어제자"),
     "is_setting": (
         "asc", "bau", "메타", "캠페인 세팅", "캠페인세팅", "광고세트",
@@ -177,7 +178,7 @@ ANSWER_INTENTS = {
     "summary": ("요약", "정리", "핵심", "현재 상황", "한눈에"),
     "procedure": ("방법", "절차", "어떻게", "세팅", "셋팅", "진행", "처리 순서"),
 }
-GLOSSARY_WORDS = ("용어", "무슨 뜻", "정의")
+GLOSSARY_WORDS = QUERY_INTENTS["glossary"]
 
 # --- fixed values: de-identification labels ------------------------------------------------------------------------
 BUCKET_LABELS = {"morning": "오전", "afternoon": "오후", "evening": "퇴근 전", "unknown": "업무 시간대"}

@@ -102,3 +102,22 @@ def test_query_features(spark):
     assert str(a["query_date"]) == "2026-04-29" and a["query_topic"] == "kakao" and a["is_kakao"]
     assert a["query_intent"] == ["procedure", "issue_lookup"]
     assert b["query_date"] is None and b["query_topics"] == [] and not b["is_kakao"]
+
+
+WIDE = "　  \u0085"
+
+
+def test_white_space_of_any_kind(one):
+    """Blanks beyond ASCII count as white space, as everywhere in Korean text."""
+    assert one(text.strip, f"{WIDE}제목 하나{WIDE}") == "제목 하나"
+    assert one(text.squeeze, f"{WIDE}a{WIDE}b\tc{WIDE}") == "a b c"
+    assert one(text.rough_token_count, "a\u3000b\xa0c\u2003d e") == 5
+    assert one(lambda c: text.drop_noise_lines(c, 1), f"x\n{WIDE}\ny") == "x\ny"
+    assert one(lambda c: text.truncate(c, 8), f"abcd{WIDE}efgh") == "abcd..."
+
+
+def test_edges_next_to_korean_particles(one):
+    """A particle is part of the word before it: no edge between a date or file name and the particle."""
+    assert one(privacy.generalize_dates, "4/29일 4/29 (4/29)") == "4/29일 해당 업무일 (해당 업무일)"
+    assert one(privacy.mask_links_and_files, "파일.pdf를 sheet.xlsx.") == "파일.pdf를 [파일]."
+    assert one(privacy.preview, f"<@U1AB> 김하늘[기획팀]:{WIDE}a.png 9:05") == "@담당자 담당자 A: [이미지] [오전]"
