@@ -161,6 +161,11 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buck
     rows = fingerprints(docs, text, doc_id)
     documents = rows.groupBy("id", "text_hash", "fp").agg(F.count("*").alias("n"))
     documents = written(documents.join(_grouped(rows, bucket_max).select("fp", "group"), "fp"), "documents")
+    return first_of_groups(docs, documents, text, doc_id)
+
+
+def first_of_groups(docs: DataFrame, documents: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Rows of ``docs`` that are the first of their group; ``documents`` (id, text_hash, n, group) has each document once."""
     first = documents.groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("first"))
     judged = documents.join(first, "group").select(
         F.col("id").alias("jid"), F.col("text_hash").alias("jth"), "n", (F.struct("id", "text_hash") == F.col("first")).alias("stays")
