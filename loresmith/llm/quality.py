@@ -42,8 +42,9 @@ def hashed_features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.n
     yield (words >> np.uint64(64 - BITS)).astype(np.int32), np.searchsorted(starts, bounds)
     # Whether a word repeats the one before it, whatever the word.
     if len(words):
-        again = np.concatenate(([0], (words[1:] == words[:-1]).astype(np.int32)))
-        yield again, np.searchsorted(starts, bounds)
+        again, firsts = np.concatenate(([0], (words[1:] == words[:-1]).astype(np.int32))), np.searchsorted(starts, bounds)
+        again[firsts[:-1][np.diff(firsts) > 0]] = 0  # a row's first word has none before it
+        yield again, firsts
     # One blank around every row, so that the first and the last word have edges too.
     rows = len(bounds) - 1
     spaced = np.full(len(data) + rows + 1, 32, np.uint8)

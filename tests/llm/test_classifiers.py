@@ -116,3 +116,15 @@ def test_code_switched_and_odd_rows(spark, make_docs):
     none = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
     assert langid.identify(docs.where(F.lit(False))).count() == 0
+
+
+def test_a_word_repeats_only_inside_its_row():
+    def again(texts):
+        _, data, bounds = next(bytesweep.chunks(pa.array(texts)))
+        kinds = quality.hashed_features(data, bounds)
+        next(kinds)
+        numbers, firsts = next(kinds)
+        return [numbers[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:])]
+
+    texts = ["a b", "b c", "", "c", "c c"]
+    assert again(texts) == [[0, 0], [0, 0], [], [0], [0, 1]] and again(["b c"]) == again(["a b", "b c"])[1:]
