@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loresmith.llm.bytesweep import BASE, LOWER, WORD_BYTES, mixed, pieces, span_hashes, word_spans
+from loresmith.llm.bytesweep import BASE, CHUNK_BYTES, LOWER, WORD_BYTES, mixed, pieces, span_hashes, word_spans
 from loresmith.llm.common import bounded_batches, held_out, text_of
 from loresmith.llm.learning import gathered, sigmoid, training_rows
 
@@ -35,14 +35,20 @@ THRESHOLD = 0.7
 SEED = 7
 
 
-def word_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_features(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, feature number) of every distinct word of a text, whole and by its beginnings, A-Z lower-cased."""
-    for rows, data, bounds in pieces(texts, WORD_BYTES):
+    last, seen = -1, np.zeros(0, np.uint64)  # the row whose pieces are coming and its words so far
+    for rows, data, bounds in pieces(texts, WORD_BYTES, limit):
         data = LOWER[data]
         starts, ends = word_spans(data, bounds, WORD_BYTES)
         at = np.repeat(rows, np.diff(np.searchsorted(starts, bounds)))
         words = span_hashes(data, starts, ends)
-        first = np.unique(mixed(words + at.astype(np.uint64) * BASE), return_index=True)[1]
+        keys, first = np.unique(mixed(words + at.astype(np.uint64) * BASE), return_index=True)
+        if len(rows) == 1:  # only such a piece can be a part of its row
+            if rows[0] != last:
+                last, seen = rows[0], np.zeros(0, np.uint64)
+            new = ~np.isin(keys, seen)
+            first, seen = first[new], np.concatenate([seen, keys[new]])
         starts, ends, at, words = starts[first], ends[first], at[first], words[first]
         yield at, (words >> np.uint64(64 - BITS)).astype(np.int64)
         for n in BEGINNINGS:
@@ -58,8 +64,8 @@ def _counted(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return codes >> BITS, codes & ((1 << BITS) - 1), np.log1p(times).astype(np.float32)
 
 
-def document_features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    rows, numbers, values = _counted([at << BITS | n for at, n in word_features(texts)])
+def document_features(texts: pa.Array, limit: int = CHUNK_BYTES) -> list[tuple[np.ndarray, np.ndarray]]:
+    rows, numbers, values = _counted([at << BITS | n for at, n in word_features(texts, limit)])
     cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
     return [(numbers[a:b].astype(np.int32), values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 

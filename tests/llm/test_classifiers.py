@@ -128,3 +128,16 @@ def test_a_word_repeats_only_inside_its_row():
 
     texts = ["a b", "b c", "", "c", "c c"]
     assert again(texts) == [[0, 0], [0, 0], [], [0], [0, 1]] and again(["b c"]) == again(["a b", "b c"])[1:]
+
+
+def test_distinct_words_of_a_long_text_do_not_depend_on_pieces():
+    long = "alpha beta gamma " * 40_000
+    texts = pa.array(["alpha", long, "beta alpha", long + "delta", ""])
+    assert bytesweep.CHUNK_BYTES < len(long)
+    whole = toxicity.document_features(texts, 1 << 30)
+    for limit in (64, bytesweep.CHUNK_BYTES):
+        given = texts if limit > 64 else pa.array([t.as_py()[:2000] for t in texts])
+        want = whole if limit > 64 else toxicity.document_features(given, 1 << 30)
+        for (a, v), (b, w) in zip(toxicity.document_features(given, limit), want, strict=True):
+            assert a.tolist() == b.tolist() and v.tolist() == w.tolist()
+    assert toxicity.document_features(pa.array([long]))[0][1].tolist() == toxicity.document_features(pa.array([long[:17]]))[0][1].tolist()
