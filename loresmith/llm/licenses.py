@@ -138,7 +138,8 @@ class Scanner:
         self.pairs = np.zeros((len(known) + 1, len(known) + 1), bool)
         for s in self.sequences:
             self.pairs[s[:-1], s[1:]] = True
-        self.single = {s[0] for s in self.sequences if len(s) == 1}
+        self.single = np.zeros(len(known) + 1, bool)
+        self.single[[s[0] for s in self.sequences if len(s) == 1]] = True
 
     def known_numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word in the templates; 0 for all other words."""
@@ -146,12 +147,18 @@ class Scanner:
         return np.where(self.hashes[at] == hashes, self.numbers[at], 0)
 
     def runs(self, numbers: np.ndarray) -> Iterable[tuple[int, int]]:
-        """Stretches in which all neighbours are neighbours in a template too; no match of two words lies outside."""
+        """Stretches in which all neighbours are neighbours in a template too, and words that are a sequence alone.
+
+        No match of two words, and none of a whole sequence, lies outside.
+        """
         good = np.zeros(len(numbers) + 1, bool)
         if len(numbers) > 1:
             good[1:-1] = self.pairs[numbers[:-1], numbers[1:]]
         turns = np.flatnonzero(good[1:] != good[:-1])
-        return [(int(a), int(b) + 1) for a, b in zip(turns[::2], turns[1::2])]
+        found = [(int(a), int(b) + 1) for a, b in zip(turns[::2], turns[1::2])]
+        # A word by itself is a run of its own where no longer run holds it.
+        alone = np.flatnonzero(self.single[numbers] & ~good[1:] & ~good[:-1])
+        return sorted([*found, *((int(i), int(i) + 1) for i in alone)])
 
     def scan(self, numbers: np.ndarray) -> tuple[list[tuple[int, int]], list[float]]:
         """Places (start, template) of the base phrases, and for each template the largest covered share."""

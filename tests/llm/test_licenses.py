@@ -74,3 +74,11 @@ def test_runs_hold_every_match_of_two_words():
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE_PHRASES)
     numbers = np.array([0, *scanner.sequences[0][:4], 0, 0, *scanner.sequences[-1]])
     assert scanner.runs(numbers) == [(1, 5), (7, 10)]
+
+
+def test_phrases_of_one_word(spark, make_docs):
+    texts = ["mit", "under MIT terms", "mit mit", "permit", "Released under the MIT License", ""]
+    got = licenses.scan_licenses(make_docs(list(enumerate(texts))), phrases={"mit": "mit"}).orderBy("doc_id").collect()
+    assert [(r["n_base"], r["first_word"], r["last_word"]) for r in got] == [
+        (1, 0, 0), (1, 1, 1), (2, 0, 1), (0, None, None), (1, 3, 3), (0, None, None)]
+    assert [r["base_labels"] for r in got] == ["mit", "mit", "mit", "", "mit", ""]
