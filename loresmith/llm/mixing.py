@@ -65,11 +65,13 @@ def mix_sources(
     source: str = "source",
     text: str = "text",
     doc_id: str = "doc_id",
+    marked: bool = True,
 ) -> DataFrame:
     """Rows of ``docs`` repeated so that each source holds its target share of the characters, in a global random order.
 
     Adds ``copy`` (from 1) and ``mix_key`` (32 hex digits; a partition holds a random part of all copies, ordered by it).
-    An input column of one of these names is replaced.  A null source is a source of its own and can't be listed.
+    An input column of one of these names is replaced; without ``marked`` none is added and the input's own stay.
+    A null source is a source of its own and can't be listed.
     Null and empty texts count no characters but are drawn like the other rows of their source.  Rows equal in id and
     text draw the same number; the draw depends on id, text and seed alone, so a repeated task draws again the same.
     Empty input gives an empty result.
@@ -95,7 +97,8 @@ def mix_sources(
     copies = copies.select("row", "digest", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     order = F.md5(F.concat("digest", F.lit("@"), F.col("copy").cast("string")))
     shuffled = copies.select("row", "copy", order.alias("mix_key")).repartition("mix_key").sortWithinPartitions("mix_key")
-    return shuffled.select(*unpacked("row", docs, copy=F.col("copy"), mix_key=F.col("mix_key")))
+    marks = {"copy": F.col("copy"), "mix_key": F.col("mix_key")} if marked else {}
+    return shuffled.select(*unpacked("row", docs, **marks))
 
 
 def mix_sql(alpha: float = ALPHA, seed: str = SEED) -> str:

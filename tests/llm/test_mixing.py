@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loresmith.llm import mixing
 
 
@@ -73,3 +74,10 @@ def test_native_plan_and_empty(spark, make_docs):
     plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert mixing.mix_sources(docs.where(F.lit(False))).count() == 0
+
+
+def test_unmarked_keeps_columns_of_the_input(spark, make_docs):
+    docs = make_docs([(i, "x" * 20, "en", "s") for i in range(50)]).withColumn("copy", F.lit("own")).withColumn("mix_key", F.col("doc_id"))
+    for made in (mixing.mix_sources(docs, marked=False), corpus_pipeline.mix_sources(spark, docs, "")):
+        rows = made.collect()
+        assert made.columns == docs.columns and rows and all(r["copy"] == "own" and r["mix_key"] == r["doc_id"] for r in rows)
