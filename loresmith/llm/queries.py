@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.base import Registry
-from loresmith.llm import decontaminate, langid, licenses, line_dedup, mixing, quality, sharding, simhash, topk, toxicity
+from loresmith.llm import (
+    decontaminate, fim, langid, licenses, line_dedup, mixing, periods, quality, secret_scan, sharding, simhash, topk, toxicity,
+)
 from loresmith.llm.common import table
 
 REG = Registry()
@@ -60,3 +62,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add("op10_shard", sharding.shard_sql())
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@REG.add("op11_fill_in_middle", fim.fim_sql())
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
+
+
+@REG.add("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
+@REG.add("op13_periods")
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"))
