@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loresmith.llm.common import held_out, text_of
-from loresmith.session import written
+from loresmith.session import broadcast_if_small, written
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -23,10 +23,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, text: str
     """
     usable = labels.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
     known = usable.groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id"))
-    # A threshold on the hash first, so that about 1.5 * per_label rows of a label meet in one task however many it has.
-    sizes = known.groupBy("label").agg(F.count("*").alias("size"))
-    share = (F.col("h") / 2.0**64 + 0.5) * F.col("size")
-    known = known.join(sizes, "label").where(share < 1.5 * per_label + 100)
+    sizes = written(known.groupBy("label").agg(F.count("*").alias("size")), "label-sizes")
+    known = _thinned(known, sizes, per_label)
     rank = F.expr("row_number() OVER (PARTITION BY label ORDER BY h, id)")
     chosen = written(known.withColumn("rank", rank).where(F.col("rank") <= per_label).select("id", "label"), "chosen")
     rows = docs.select(F.col(doc_id).alias("id"), text_of(docs, text).alias("text"))
@@ -34,6 +32,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, text: str
     return found.select("label", "text")
 
 
+def _thinned(known: DataFrame, sizes: DataFrame, per_label: int) -> DataFrame:
+    """Rows below a threshold on the hash, about 1.5 * per_label of each label, before any exchange by label.
+
+    One row per label is broadcast, behind a check of its size, so that no label's rows meet in one task to be thinned.
+    """
+    share = (F.col("h") / 2.0**64 + 0.5) * F.col("size")
+    return known.join(broadcast_if_small(sizes), "label").where(share < 1.5 * per_label + 100)
+
+
 def gathered(rows: DataFrame, features: Callable[[pa.Array], list[tuple[np.ndarray, np.ndarray]]]):
     """Feature numbers and weights of bounded ``rows`` (label, text), computed on the executors: labels, [(numbers, weights)].
 

@@ -141,3 +141,20 @@ def test_distinct_words_of_a_long_text_do_not_depend_on_pieces():
         for (a, v), (b, w) in zip(toxicity.document_features(given, limit), want, strict=True):
             assert a.tolist() == b.tolist() and v.tolist() == w.tolist()
     assert toxicity.document_features(pa.array([long]))[0][1].tolist() == toxicity.document_features(pa.array([long[:17]]))[0][1].tolist()
+
+
+def test_labels_are_thinned_before_they_are_exchanged(spark):
+    """With automatic broadcasts off, as for a large table, no row is shuffled by its label to be thinned."""
+    from loresmith.llm import learning
+
+    known = spark.range(1000).select("id", (F.col("id") % 2).alias("label"), F.xxhash64("id").alias("h"))
+    sizes = known.groupBy("label").agg(F.count("*").alias("size"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = learning._thinned(known, learning.written(sizes, "sizes"), 50)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        n = kept.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and 200 < n < 600
