@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from catalog.base import SQL_QUESTIONS, Registry, questions, table
 from loresmith.functions.tokens import SEPARATORS, TOKEN, search_tokens
 from loresmith.functions.vectors import cosine
-from loresmith.operators import containment, evaluate, fusion, keyword, nearest
-from loresmith.session import spread
+from loresmith.operators import containment, evaluate, fusion, keyword, keyword_blocks, nearest
+from loresmith.operators.keyword_store import KeywordStore
+from loresmith.session import scratch_dir, spread
 
 REG = Registry()
 
@@ -185,6 +186,79 @@ def r5_bm25_topk_indexed(spark, sf):
     )
 
 
+def ranked_columns(found: DataFrame) -> DataFrame:
+    return found.select(
+        "query_id", "chunk_id", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"), F.round("bm25_norm", 6).alias("bm25_norm"))
+
+
+@REG.add("r5_bm25_topk_pruned", f"WITH {SQL_BENCH},\n{sql_bm25('bench', 'question', 5)}\n{SQL_BM25_OUT}")
+def r5_bm25_topk_pruned(spark, sf):
+    """The best five by bounds on blocks of postings: the rows of the search that scores everything."""
+    index = keyword_blocks.build_block_index(table(spark, sf, "documents"))
+    return ranked_columns(keyword_blocks.bm25_topk_pruned(bench(spark, sf), index, 5))
+
+
+def stored_index(spark: SparkSession, sf: str) -> KeywordStore:
+    """Documents added in batches by source, those of good quality replaced by a text with its language, toxic ones deleted."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    labels = table(spark, sf, "labels")
+    store = KeywordStore.create(spark, scratch_dir(spark, "keyword-store"))
+    early = F.col("source") < "src3"
+    for batch in (documents.where(early), documents.where(~early)):
+        store.add(batch, facet_col="lang")
+    good = documents.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    store.add(good.withColumn("text", F.concat("lang", F.lit(" "), "text")), skip_existing=False, facet_col="lang")
+    store.delete(labels.where("toxic = 1").select("doc_id"))
+    return store
+
+
+SQL_HELD = """held AS (
+  SELECT d.doc_id, d.lang, CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN lang || ' ' || text ELSE text END AS text
+  FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+def sql_held(condition: str, k: int) -> str:
+    """CTEs up to bm25 over the held documents that meet the condition."""
+    ranked = sql_bm25("bench", "question", k).replace("documents", "held_part")
+    return f"{SQL_HELD}, held_part AS (SELECT * FROM held WHERE {condition}), {SQL_BENCH},\n{ranked}"
+
+
+@REG.add("r4_stored_index_topk", f"WITH {sql_held('true', 5)}\n{SQL_BM25_OUT}")
+def r4_stored_index_topk(spark, sf):
+    """Keyword search over an index that was added to, replaced in and deleted from, batch by batch."""
+    return ranked_columns(keyword_blocks.bm25_topk_pruned(bench(spark, sf), stored_index(spark, sf).index(), 5))
+
+
+@REG.add(
+    "r4_stored_index_terms",
+    f"""WITH {sql_held('true', 5)}
+        SELECT term, df, round(idf, 6) AS idf, round(avgdl, 6) AS avgdl, n_docs FROM terms, corpus""",
+)
+def r4_stored_index_terms(spark, sf):
+    index = stored_index(spark, sf).index()
+    n_docs = index.corpus.select("n_docs").scalar()
+    return index.terms_among(None).select(
+        "term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"), n_docs.alias("n_docs"))
+
+
+FACETS = {"en": ["en"], "de": ["de"], "de+fr": ["de", "fr"]}
+
+
+def sql_facet(name: str, langs: list[str]) -> str:
+    listed = ", ".join(f"'{lang}'" for lang in langs)
+    return f"""SELECT '{name}' AS facets, * FROM (WITH {sql_held(f"lang IN ({listed})", 5)}\n{SQL_BM25_OUT})"""
+
+
+@REG.add("r4_faceted_topk", " UNION ALL ".join(sql_facet(name, langs) for name, langs in FACETS.items()))
+def r4_faceted_topk(spark, sf):
+    """One index asked within categories: statistics are those of the category's documents, or of two categories' together."""
+    index, parts = stored_index(spark, sf).index(), []
+    for name, langs in FACETS.items():
+        found = keyword_blocks.bm25_topk_pruned(bench(spark, sf), index.only(langs), 5)
+        parts.append(ranked_columns(found).select(F.lit(name).alias("facets"), "*"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 SQL_HYBRID = f"{SQL_QUESTIONS},\n{sql_bm25('questions', 'question', 20)},\n{SQL_VECTOR},\n{SQL_FUSED}"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from catalog.search import sql_bm25
 from catalog.texts import docs, short, short_cols
 from loresmith.functions import hashing
 from loresmith.functions.lookup import lookup
-from loresmith.operators import keyword, registry as reg
+from loresmith.operators import embedding, keyword, registry as reg
 from loresmith.session import scratch_dir
 from loresmith.sources import files, stores
 from loresmith.streaming import streams
@@ -57,15 +59,15 @@ def s2_route_source_type(spark, sf):
 @REG.add(
     "s3_decode_text",
     f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp949' ELSE 'latin-1' END AS encoding,
-               {short("CASE doc_id % 3 WHEN 0 THEN text || '가' WHEN 1 THEN '가' || CASE WHEN regexp_full_match(text, '[\\x01-\\x7f]*') THEN text ELSE doc_id::VARCHAR END ELSE 'ÿ' || text END", 'text')} FROM documents""",
+               {short("CASE doc_id % 3 WHEN 0 THEN text || '가' WHEN 1 THEN '가' || regexp_replace(text, '[^\\x01-\\x7f]', '가', 'g') ELSE 'ÿ' || text END", 'text')} FROM documents""",
 )
 def s3_decode_text(spark, sf):
-    """Whole texts in UTF-8, in CP949 (the ASCII ones, else the number) and in bytes that are neither."""
+    """Whole texts in UTF-8, in CP949 (letters it may lack as one syllable that it has) and in bytes that are neither."""
     n = F.col("doc_id") % 3
-    plain = F.when(F.col("text").rlike(r"^[\x01-\x7F]*$"), F.col("text")).otherwise(F.col("doc_id").cast("string"))
+    korean = F.encode(F.regexp_replace("text", r"[^\x01-\x7F]", "\u00b0\u00a1"), "ISO-8859-1")  # the syllable's two bytes
     content = (
         F.when(n == 0, F.concat("text", F.lit("가")).cast("binary"))
-        .when(n == 1, F.concat(F.unhex(F.lit("B0A1")), plain.cast("binary")))
+        .when(n == 1, F.concat(F.unhex(F.lit("B0A1")), korean))
         .otherwise(F.concat(F.unhex(F.lit("FF")), F.encode("text", "ISO-8859-1")))
     )
     d = docs(spark, sf, "text").select("doc_id", files.decode_text(content).alias("d"))
@@ -267,6 +269,42 @@ def g4_embedding_worklist(spark, sf):
     return out.select("key", "chunk_id", *short_cols(F.col("text"), "text"), "batch_id")
 
 
+EMBED_DIMS = 4
+
+
+def digit_vectors(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model that SQL can follow: numbers from the text's hash."""
+    digests = [hashlib.sha256(text.encode()).hexdigest() for text in texts]
+    return [[int(d[4 * i : 4 * i + 4], 16) / 65536 for i in range(EMBED_DIMS)] for d in digests]
+
+
+@REG.add(
+    "g4_embedded_chunks",
+    f"""WITH c AS (SELECT doc_id AS chunk_id, text AS t, {KEY.format('text')} AS key FROM documents WHERE text <> ''),
+        v AS (SELECT *, sha256(CASE WHEN length(t) <= 8000 THEN t ELSE regexp_replace(substr(t, 1, 7997), '{SQL_SPACE}+$', '') || '...' END) AS h FROM c),
+        counts AS (SELECT count(*) AS n FROM documents),
+        found AS (SELECT count(*) AS m FROM v)
+        SELECT chunk_id, key, {', '.join(f"('0x' || h[{4 * i + 1}:{4 * i + 4}])::BIGINT / 65536.0 AS v{i}" for i in range(EMBED_DIMS))},
+               n - m AS missing, 0 AS orphans, n = m AS valid
+        FROM v, counts, found""",
+)
+def g4_embedded_chunks(spark, sf):
+    """Work-list, vectors by the caller's function in batches, the cache joined back to chunks, and their validation."""
+    names = ("local", "m1", "doc")
+    chunks = docs(spark, sf, "text").select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("embedding_text"), F.lit("").alias("clean_content"), F.lit("").alias("content"))
+    path = scratch_dir(spark, "vector-cache")
+    embedding.embed_missing(chunks, path, *names, lambda: digit_vectors)
+    vectors = embedding.chunk_vectors(chunks, embedding.open_cache(spark, path), *names)
+    counts = reg.embedding_validation(chunks, vectors).select("missing", "orphans", "valid")
+    key = hashing.embedding_key(*[F.lit(x) for x in names], F.col("embedding_text"))
+    rows = vectors.join(chunks.select("chunk_id", key.alias("key")), "chunk_id")
+    one = counts.select(F.struct("missing", "orphans", "valid")).scalar()
+    return rows.select(
+        "chunk_id", "key", *[F.get("vector", F.lit(i)).cast("double").alias(f"v{i}") for i in range(EMBED_DIMS)],
+        *[one[c].alias(c) for c in ("missing", "orphans", "valid")])
+
+
 @REG.add(
     "g5_cache_keys",
     """SELECT doc_id, sha256(sha256(text) || '|v1|model') AS card_cache_key,

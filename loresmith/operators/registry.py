@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,8 @@ from loresmith.functions.text import truncate
 from loresmith.operators.chunking import dedup_exact
 
 EMBED_CAP, EMBED_BATCH = 8000, 32  # fixed values
-BUCKET_ROWS = 100_000
+BUCKET_DIGITS = 2  # hexadecimal digits of a key that name its bucket of batches
+PART_DIGITS = 3  # further digits by which a bucket is numbered in parts
 
 
 def skip_indexed(files: DataFrame, registry: DataFrame, order: str) -> DataFrame:
@@ -75,23 +74,25 @@ def embedding_input() -> Column:
 
 
 def embedding_worklist(
-    chunks: DataFrame, cache: DataFrame, provider: str, model: str, task: str, prefix: int | None = None
+    chunks: DataFrame, cache: DataFrame, provider: str, model: str, task: str, prefix: int = BUCKET_DIGITS
 ) -> DataFrame:
     """Distinct texts that are not cached, in batches of 32: key, text (cut to the cap, with dots), batch_id.
 
-    Batches are numbered inside buckets of the key's first ``prefix`` hexadecimal digits (buckets of equal size, the key
-    being a hash), so there is no global sort.  By default the chunks are counted: two digits, and as many more as keep
-    a bucket to about ``BUCKET_ROWS`` rows.
+    Batches are numbered along the keys of a bucket, which are those with equal first ``prefix`` hexadecimal digits.  The keys
+    are counted by ``PART_DIGITS`` more digits first and numbered from there on inside each part, so that the ids are the
+    same however many keys there are, and no task sorts more than a part of a bucket (a key being a hash).
     """
-    if prefix is None:
-        prefix = max(2, math.ceil(math.log(max(1, chunks.count()) / BUCKET_ROWS, 16)))
     text = embedding_input()
     rows = chunks.select("chunk_id", text.alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("key", embedding_key(F.lit(provider), F.lit(model), F.lit(task), F.col("text")))
     todo = dedup_exact(rows, "key", [F.col("chunk_id")], scope=()).join(cache.select("key"), "key", "left_anti")
-    w = Window.partitionBy("bucket").orderBy("key")
-    todo = todo.withColumn("bucket", F.substring("key", 1, prefix))
-    number = F.floor((F.row_number().over(w) - 1) / EMBED_BATCH).cast("string")
+    todo = todo.withColumns({"bucket": F.substring("key", 1, prefix), "part": F.substring("key", prefix + 1, PART_DIGITS)})
+    earlier = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = todo.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    starts = starts.select("bucket", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("key"))
+    todo = todo.withColumn("nth", inside).join(starts, ["bucket", "part"])
+    number = F.floor((F.col("start") + F.col("nth") - 1) / EMBED_BATCH).cast("string")
     return todo.select(
         "key", truncate(F.col("text"), EMBED_CAP).alias("text"), "chunk_id",
         F.concat("bucket", F.lit("-"), number).alias("batch_id"),
