@@ -14,8 +14,10 @@ from catalog.texts import docs, short, short_cols
 from loresmith.functions import hashing
 from loresmith.functions.lookup import lookup
 from loresmith.operators import embedding, keyword, registry as reg
+from loresmith.plans.ingest import ingest_documents
 from loresmith.session import scratch_dir
 from loresmith.sources import files, stores
+from loresmith.sources.bucketed import BucketedTable
 from loresmith.streaming import streams
 
 REG = Registry()
@@ -169,6 +171,34 @@ def s10_delete_by_document(spark, sf):
     return reg.delete_by_document(table(spark, sf, "documents").select("doc_id", "source"), listed, "doc_id")
 
 
+def stored_vectors(spark: SparkSession, sf: str) -> BucketedTable:
+    """The embeddings, then those of labels below 5 once more as new versions."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", F.lit("old").alias("version"))
+    stored = BucketedTable.open(spark, scratch_dir(spark, "bucketed"), "chunk_id", rows.schema, 16)
+    stored.upsert(rows)
+    stored.upsert(rows.where("label < 5").withColumn("version", F.lit("new")))
+    return stored
+
+
+@REG.add(
+    "s9_bucketed_upsert",
+    """SELECT vec_id AS chunk_id, label, CASE WHEN label < 5 THEN 'new' ELSE 'old' END AS version FROM embeddings""",
+)
+def s9_bucketed_upsert(spark, sf):
+    return stored_vectors(spark, sf).read()
+
+
+@REG.add(
+    "s10_bucketed_delete",
+    """SELECT vec_id AS chunk_id, label, CASE WHEN label < 5 THEN 'new' ELSE 'old' END AS version FROM embeddings
+       WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+)
+def s10_bucketed_delete(spark, sf):
+    stored = stored_vectors(spark, sf)
+    stored.delete(table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")))
+    return stored.read()
+
+
 def hashed_files(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf, "source", "text").select(
         "doc_id", F.col("source").alias("file_name"), hashing.file_fingerprint(F.col("text")).alias("file_hash")
@@ -354,26 +384,47 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # --- streams --------------------------------------------------------------------------------------------------------------
-@REG.add(
-    "x1_incremental_ingest",
-    """WITH f AS (SELECT count(*) AS files, count(DISTINCT CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN text END) AS fresh
+SQL_INGEST_STATES = """WITH f AS (SELECT count(*) AS files, count(DISTINCT CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN text END) AS fresh
                   FROM documents)
        SELECT 'indexed' AS status, '-' AS reason, fresh AS files, true AS unique_ids, true AS counted FROM f
        UNION ALL SELECT 'skipped', 'already indexed', count(*) FILTER (trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''), true, true FROM documents
-       UNION ALL SELECT 'skipped', 'copy in this batch', files - fresh, true, true FROM f WHERE files > fresh""",
-)
+       UNION ALL SELECT 'skipped', 'copy in this batch', files - fresh, true, true FROM f WHERE files > fresh"""
+
+
+@REG.add("x1_incremental_ingest", SQL_INGEST_STATES)
 def x1_incremental_ingest(spark, sf):
     """A file per document as a stream, then the same folder again: nothing is added the second time.
 
     ``counted``: the log's chunks are the stored ones.
     """
+    target = ingested_twice(spark, sf)
+    return ingest_states(spark.read.parquet(f"{target}/log"), spark.read.parquet(f"{target}/chunks"))
+
+
+@REG.add("x1_bucketed_ingest", SQL_INGEST_STATES)
+def x1_bucketed_ingest(spark, sf):
+    """The same into tables whose buckets are read and rewritten where a batch's keys fall."""
+    target = ingested_twice(spark, sf, buckets=16)
+    chunks = BucketedTable.open(spark, f"{target}/chunks", "chunk_id", chunk_schema(spark), 16)
+    return ingest_states(spark.read.parquet(f"{target}/log"), chunks.read())
+
+
+def chunk_schema(spark: SparkSession):
+    """Schema of ingested chunks."""
+    none = spark.createDataFrame([], streams.FILE_SCHEMA)
+    return ingest_documents(files.load_documents(none, "/", FOLDERS), 2024).schema
+
+
+def ingested_twice(spark: SparkSession, sf: str, **options) -> str:
     root, target = scratch_dir(spark, "files"), scratch_dir(spark, "kb")
     d = table(spark, sf, "documents").select("doc_id", "text", lookup(F.col("lang"), LANG_CATEGORY, "other").alias("folder"))
     d.repartition(8, "doc_id").write.partitionBy("folder", "doc_id").text(root)
     for run in ("first", "again"):
-        streams.incremental_ingest(spark, root, target, scratch_dir(spark, f"cp-{run}"), 2024, FOLDERS).awaitTermination()
-    log = spark.read.parquet(f"{target}/log")
-    stored = spark.read.parquet(f"{target}/chunks")
+        streams.incremental_ingest(spark, root, target, scratch_dir(spark, f"cp-{run}"), 2024, FOLDERS, **options).awaitTermination()
+    return target
+
+
+def ingest_states(log: DataFrame, stored: DataFrame) -> DataFrame:
     total = stored.agg(F.count("*")).scalar()
     rows = log.groupBy("status", F.coalesce("reason", F.lit("-")).alias("reason")).agg(F.count("*").alias("files"))
     return rows.select(

@@ -23,8 +23,9 @@ LINK = r"<(https?://[^|>]+)\|([^>]+)>"
 KEEP_LAYOUT = ("table", "excel_raw_table", "conversation")
 URL = rf"https?://[^{SPACES})]+"
 LINE_BREAK = "\r\n|\n|\r"
-EDGE_SPACE = f"^{SPACE}+|{SPACE}+$"
-END_SPACE = f"{SPACE}+$"
+_SPACE_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+                 (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]  # the same characters as in SPACES
+SPACE_CHARACTERS = "".join(chr(c) for first, last in _SPACE_RANGES for c in range(first, last + 1))
 BOT_MENTION = r"<@([UW][A-Z0-9]+)(\|[^>]*)?>"
 DEBUG_FLAG = r"(?i)(^|\s)--debug\b"
 WIDE_SPACES = "[\u00a0\u2007\u202f\u2009\u200a\u200b]"
@@ -40,7 +41,12 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
+
+
+def strip_end(text: Column) -> Column:
+    """Remove white space of any kind at the end."""
+    return F.rtrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def compose(text: Column) -> Column:
@@ -79,14 +85,14 @@ def drop_noise_lines(text: Column, min_chars: int = 1) -> Column:
 def truncate(text: Column, n: int | Column) -> Column:
     """Keep n characters, the last three being dots."""
     limit = n if isinstance(n, Column) else F.lit(n)
-    short = F.regexp_replace(F.substring(text, F.lit(1), (limit - 3).cast("int")), END_SPACE, "")
+    short = strip_end(F.substring(text, F.lit(1), (limit - 3).cast("int")))
     cut = F.when(limit <= 3, F.substring(text, F.lit(1), limit.cast("int"))).otherwise(F.concat(short, F.lit("...")))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
 def clip(text: Column, n: int) -> Column:
     """Keep n characters, the last one being an ellipsis."""
-    cut = F.concat(F.regexp_replace(F.substring(text, 1, n - 1), END_SPACE, ""), F.lit("…"))
+    cut = F.concat(strip_end(F.substring(text, 1, n - 1)), F.lit("…"))
     return F.when(F.length(text) <= n, text).otherwise(cut)
 
 

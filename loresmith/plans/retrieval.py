@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loresmith.config import RETRIEVAL, RetrievalConfig
-from loresmith.operators import fusion, keyword, nearest, policy, scoring
+from loresmith.operators import fusion, keyword, keyword_blocks, nearest, policy, scoring
 from loresmith.session import broadcast_if_small, written
 
 
@@ -24,7 +24,7 @@ class Corpus:
     vectors: DataFrame
     chunks: DataFrame | Callable[[DataFrame], DataFrame]
     children: DataFrame | None = None
-    index: keyword.KeywordIndex | None = None
+    index: keyword.KeywordIndex | keyword_blocks.BlockIndex | None = None
 
 
 def search(questions: DataFrame, query_vectors: DataFrame, corpus: Corpus, cfg: RetrievalConfig = RETRIEVAL) -> DataFrame:
@@ -34,6 +34,8 @@ def search(questions: DataFrame, query_vectors: DataFrame, corpus: Corpus, cfg:
         kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
         none = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, bm25_rank int, bm25_score double, bm25_norm double"
         words = questions.sparkSession.createDataFrame([], none)
+    elif isinstance(corpus.index, keyword_blocks.BlockIndex):
+        words = keyword_blocks.bm25_topk_pruned(questions, corpus.index, cfg.bm25_top_k, cfg)
     elif corpus.index is not None:
         words = keyword.bm25_topk(questions, corpus.index, cfg.bm25_top_k, cfg)
     else:
