@@ -15,6 +15,7 @@ from loresmith.llm.common import packed, text_of, unpacked
 from loresmith.session import written
 
 LIMIT_BYTES = 64 << 20
+TASK_BYTES = 1 << 30  # text that a task of clustered shards has, about
 ROW_BYTES = 32  # counted for each row besides its text
 HASH_BITS = 60
 FINER_BITS = 4  # the first directory has about 2 ** FINER_BITS cells per shard
@@ -82,7 +83,10 @@ def shard(
         )
         placed = placed.unionByName(dealt.select("row", "size", part.alias("shard")))
     if cluster:
-        placed = placed.repartition("shard")
+        # As many tasks as the bytes that the directory has counted ask for, where that is more than the session's number.
+        tasks = math.ceil(total / TASK_BYTES)
+        more = [tasks] if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+        placed = placed.repartition(*more, "shard")
     return placed.select(*unpacked("row", docs, shard_id=F.col("shard"), row_bytes=F.col("size")))
 
 

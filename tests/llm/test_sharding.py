@@ -53,3 +53,12 @@ def test_written_shards_and_empty(spark, make_docs, tmp_path):
     assert len(folders) > 10 and all(len(list(p.glob("*.parquet"))) == 1 for p in folders)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
     assert sharding.shard(docs.where(F.lit(False))).count() == 0
+
+
+def test_number_of_tasks_follows_the_bytes(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, "x" * 500) for i in range(400)])
+    plain = sorted((r["doc_id"], r["shard_id"]) for r in sharding.shard(docs, limit=4000).collect())
+    monkeypatch.setattr(sharding, "TASK_BYTES", 10_000)
+    made = sharding.shard(docs, limit=4000)
+    assert made.rdd.getNumPartitions() == -(-400 * 532 // 10_000)
+    assert sorted((r["doc_id"], r["shard_id"]) for r in made.collect()) == plain
