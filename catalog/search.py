@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.base import SQL_QUESTIONS, Registry, questions, table
 from loresmith.functions.tokens import SEPARATORS, TOKEN, search_tokens
 from loresmith.functions.vectors import cosine
-from loresmith.operators import containment, evaluate, fusion, keyword, keyword_blocks, nearest
+from loresmith.operators import containment, evaluate, fusion, keyword, keyword_blocks, nearest, rotated
 from loresmith.operators.keyword_store import KeywordStore
 from loresmith.session import scratch_dir, spread
 
@@ -121,6 +121,18 @@ def r2_vector_topk(spark, sf):
     return found.select("query_id", "chunk_id", "vector_rank", F.round("vector_score", 6).alias("vector_score"))
 
 
+@REG.add(
+    "r2_vector_topk_rotated",
+    f"WITH {SQL_VECTOR} SELECT query_id, chunk_id, vector_rank, round(vector_score, 6) AS vector_score FROM vector",
+)
+def r2_vector_topk_rotated(spark, sf):
+    """The same rows from vectors in principal axes, given up by bounds after their leading components."""
+    stored = vectors(spark, sf)
+    axes = rotated.principal_axes(stored)
+    found = rotated.vector_topk_rotated(query_vectors(spark, sf), rotated.rotated_vectors(stored, axes), axes, 15)
+    return found.select("query_id", "chunk_id", "vector_rank", F.round("vector_score", 6).alias("vector_score"))
+
+
 @REG.add(
     "r2a_vector_topk_approx",
     f"""WITH {SQL_VECTOR} SELECT query_id, chunk_id, vector_rank, round(vector_score, 6) AS vector_score FROM vector""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -33,7 +34,7 @@ def _codes(df: DataFrame) -> DataFrame:
     return df.withColumns({"scale": F.when(length > 0, scale).otherwise(0.0), "vector": codes})
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def unit_rows(table: pa.Table) -> np.ndarray:
     """Unit rows of the vectors or of their codes; a zero row stays zero."""
     values = table.column("vector").combine_chunks()
     m = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
@@ -64,7 +65,7 @@ def _best(q: np.ndarray, c: np.ndarray, order: np.ndarray, k: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _meet(asked: pa.Table, given: pa.Table, k: int) -> pa.Table:
+def _meet(asked: pa.Table, given: pa.Table, k: int, best: Callable) -> pa.Table:
     if not asked.num_rows or not given.num_rows:
         a = b = np.zeros(0, np.int64)
         score = np.zeros(0)
@@ -72,16 +73,19 @@ def _meet(asked: pa.Table, given: pa.Table, k: int) -> pa.Table:
         ids = given.column("chunk_id").combine_chunks()
         order = np.empty(len(ids), np.int64)
         order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        a, b, score = _best(_matrix(asked), _matrix(given), order, k)
+        a, b, score = best(unit_rows(asked), unit_rows(given), order, k)
     take = lambda t, name, at: t.column(name).combine_chunks().take(pa.array(at, pa.int64()))
     return pa.table({
         "query_id": take(asked, "query_id", a), "chunk_id": take(given, "chunk_id", b), "vector_score": pa.array(score, pa.float64())})
 
 
-def _scan(
-    queries: DataFrame, vectors: DataFrame, k: int, query_block: int, slice_rows: int, quantized: bool
+def meet_in_slices(
+    queries: DataFrame, vectors: DataFrame, k: int, query_block: int, slice_rows: int, best: Callable = _best, quantized: bool = False
 ) -> DataFrame:
-    """The best k of each query in each slice.  Blocks of queries meet numbered slices of vectors of the same length."""
+    """The best k of each query in each slice.  Blocks of queries meet numbered slices of vectors of the same length.
+
+    ``best`` finds them among unit rows, by default by the product of all with all.
+    """
     # Columns of their own on both sides: queries may have been taken from the vectors themselves.
     own = lambda df, name: df.select(
         F.col(name).alias(name), F.col("vector").alias("vector"), F.size("vector").alias("dim")).where("dim > 0")
@@ -100,11 +104,11 @@ def _scan(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     schema = T.StructType([queries.schema["query_id"], vectors.schema["chunk_id"], T.StructField("vector_score", T.DoubleType())])
     keys = ("dim", "block", "slice")
-    meet = partial(_meet, k=k)
+    meet = partial(_meet, k=k, best=best)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: meet(a, b), schema)
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def ranked(found: DataFrame, k: int) -> DataFrame:
     """Number the best k.  Similarities keep 12 decimals: the rest is noise of the summation order."""
     found = found.withColumn("vector_score", F.round("vector_score", 12))
     w = Window.partitionBy("query_id").orderBy(F.round("vector_score", 9).desc(), F.col("chunk_id"))
@@ -120,13 +124,13 @@ def vector_topk(
     matrix of similarities are bounded whatever the tables hold.  Vectors of another length than the query's are not
     compared with it.
     """
-    return _ranked(_scan(queries, vectors, k, query_block, slice_rows, False), k)
+    return ranked(meet_in_slices(queries, vectors, k, query_block, slice_rows), k)
 
 
 def vector_candidates_approx(queries: DataFrame, vectors: DataFrame, k: int, further: float = FURTHER) -> DataFrame:
     """(query_id, chunk_id): the ``further * k`` best of each query by quantized vectors, an eighth of the size."""
     many = math.ceil(further * k)
-    found = _ranked(_scan(queries, vectors, many, QUERY_BLOCK, SLICE_ROWS, True), many)
+    found = ranked(meet_in_slices(queries, vectors, many, QUERY_BLOCK, SLICE_ROWS, quantized=True), many)
     return written(found.select("query_id", "chunk_id"), "near")
 
 
@@ -136,4 +140,4 @@ def vector_topk_approx(queries: DataFrame, vectors: DataFrame, k: int, further:
     asked = queries.select("query_id", F.col("vector").alias("query_vector"))
     rows = vectors.select("chunk_id", "vector").join(broadcast_if_small(pairs), "chunk_id")
     found = rows.join(broadcast_if_small(asked), "query_id")
-    return _ranked(found.select("query_id", "chunk_id", cosine(F.col("query_vector"), F.col("vector")).alias("vector_score")), k)
+    return ranked(found.select("query_id", "chunk_id", cosine(F.col("query_vector"), F.col("vector")).alias("vector_score")), k)
