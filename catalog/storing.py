@@ -437,11 +437,14 @@ SQL_ASKED = """asked_q AS (
   FROM conversations WHERE role = 'user')"""
 
 
+SQL_ANSWERS = f"""WITH {SQL_ASKED},
+{sql_bm25('asked_q', 'question', 5)}
+SELECT query_id, chunk_id, bm25_rank, round(bm25_score, 6) AS bm25_score FROM bm25"""
+
+
 @REG.add(
     "x2_question_stream",
-    f"""WITH {SQL_ASKED},
-{sql_bm25('asked_q', 'question', 5)}
-SELECT query_id, chunk_id, bm25_rank, round(bm25_score, 6) AS bm25_score FROM bm25""",
+    SQL_ANSWERS,
 )
 def x2_question_stream(spark, sf):
     """User turns arrive as a stream and are answered from a stored index."""
@@ -458,6 +461,24 @@ def x2_question_stream(spark, sf):
     return out.select("query_id", "chunk_id", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+@REG.add("x2_redelivered_questions", SQL_ANSWERS)
+def x2_redelivered_questions(spark, sf):
+    """Every user turn is delivered twice, in different micro-batches, and answered once."""
+    index = keyword.build_index(table(spark, sf, "documents"))
+    turns = table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").cast("string").alias("user"), "text",
+        F.timestamp_seconds(F.col("turn") % 60 + 1_000_000_000).alias("at"))
+    folder, log = scratch_dir(spark, "deliveries"), scratch_dir(spark, "answers")
+    for _ in range(2):
+        turns.coalesce(1).write.mode("append").parquet(folder)
+    deliveries = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    streams.question_stream(
+        streams.delivered_once(deliveries, ["query_id"], "at"), lambda q: keyword.bm25_topk(q, index, 5), log, scratch_dir(spark, "cp")
+    ).awaitTermination()
+    out = spark.read.parquet(log)
+    return out.select("query_id", "chunk_id", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"))
+
+
 @REG.add(
     "x3_usage_stream",
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS kind, count(*) AS calls,
