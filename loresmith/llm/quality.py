@@ -82,6 +82,19 @@ def document_features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def loss_error(shares: np.ndarray, vectors: np.ndarray, output: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray]:
+    """Average vector of a document, and the gradient of its softmax loss by the logits.
+
+    By the output layer the gradient is the outer product of both, by a feature's vector its share times output @ error.
+    """
+    hidden = shares @ vectors
+    logits = hidden @ output
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    p[label] -= 1
+    return hidden, p
+
+
 def train(labels: list[int], features: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Learn vectors and output layer; returns for each feature what it adds to the log-odds of label 1.
 
@@ -102,12 +115,7 @@ def train(labels: list[int], features: list[tuple[np.ndarray, np.ndarray]]) -> n
         numbers, shares = features[i]
         if not len(numbers):
             continue
-        hidden = shares @ vectors[numbers]
-        logits = hidden @ output
-        p = np.exp(logits - logits.max())
-        p /= p.sum()
-        error = p
-        error[labels[i]] -= 1
+        hidden, error = loss_error(shares, vectors[numbers], output, labels[i])
         error *= np.float32(min(4.0, weight[labels[i]]) * RATE * (1 - step / steps))
         back = output @ error
         output -= np.outer(hidden, error)

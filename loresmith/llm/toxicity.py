@@ -85,6 +85,23 @@ def _dense(features: Features, learned: np.ndarray) -> np.ndarray:
     return out
 
 
+def risks(w: np.ndarray, x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Risk of the positives, and that of the negatives: of all unlabelled texts less the positives' share among them.
+
+    Logistic loss: a positive costs log(1 + exp(-z)), a negative log(1 + exp(z)).
+    """
+    z_p, z_u = x_p @ w, x_u @ w
+    return prior * np.logaddexp(0, -z_p).mean(), np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+
+
+def risk_gradient(w: np.ndarray, x_p: np.ndarray, x_u: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the sum of both risks; where that of the negatives is below zero, of its opposite alone, to undo overfitting."""
+    s_p, s_u = sigmoid(x_p @ w).astype(w.dtype), sigmoid(x_u @ w).astype(w.dtype)
+    g_positive = prior * ((s_p - 1) @ x_p) / len(x_p)
+    g_negative = s_u @ x_u / len(x_u) - prior * (s_p @ x_p) / len(x_p)
+    return g_positive + g_negative if risks(w, x_p, x_u, prior)[1] >= 0 else -g_negative
+
+
 def train(positives: Features, unlabelled: Features, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Learned features and their weights, the last of which is the constant."""
     held = [np.bincount(np.concatenate([n for n, _ in x]), minlength=1 << BITS) / len(x) for x in (positives, unlabelled)]
@@ -104,13 +121,7 @@ def train(positives: Features, unlabelled: Features, prior: float) -> tuple[np.n
             for a in range(0, len(u), BATCH):
                 x_u = u[order[a : a + BATCH]]
                 x_p = p[rng.integers(0, len(p), BATCH)]
-                z_p, z_u = x_p @ w, x_u @ w
-                # Logistic loss: a positive costs log(1 + exp(-z)), a negative log(1 + exp(z)).
-                negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-                s_p, s_u = sigmoid(z_p).astype(np.float32), sigmoid(z_u).astype(np.float32)
-                g_positive = prior * ((s_p - 1) @ x_p) / len(x_p)
-                g_negative = s_u @ x_u / len(x_u) - prior * (s_p @ x_p) / len(x_p)
-                grad = (g_positive + g_negative if negative >= 0 else -g_negative) + DECAY * w
+                grad = risk_gradient(w, x_p, x_u, prior) + DECAY * w
                 t += 1
                 m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
                 w = (w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)

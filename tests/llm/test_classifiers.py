@@ -158,3 +158,48 @@ def test_labels_are_thinned_before_they_are_exchanged(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and 200 < n < 600
+
+
+def numeric(loss, at, step=1e-6):
+    """Central differences of a loss by every entry of an array."""
+    out = np.zeros_like(at)
+    for i in np.ndindex(*at.shape):
+        up, down = at.copy(), at.copy()
+        up[i] += step
+        down[i] -= step
+        out[i] = (loss(up) - loss(down)) / (2 * step)
+    return out
+
+
+@pytest.mark.parametrize("apart", [0.0, 6.0])
+def test_risk_gradient_in_both_branches(apart):
+    """Positives far on the positive side make the risk of the negatives negative."""
+    rng, prior = np.random.default_rng(1), 0.3
+    for _ in range(8):
+        w = rng.normal(size=5)
+        x_p, x_u = rng.random((7, 5)) + apart * w / np.linalg.norm(w), rng.random((11, 5)) - apart * w / np.linalg.norm(w)
+        below = toxicity.risks(w, x_p, x_u, prior)[1] < 0
+        assert below == (apart > 0)
+        stated = (lambda v: -toxicity.risks(v, x_p, x_u, prior)[1]) if below else (lambda v: sum(toxicity.risks(v, x_p, x_u, prior)))
+        assert np.allclose(toxicity.risk_gradient(w, x_p, x_u, prior), numeric(stated, w), atol=1e-7)
+
+
+def test_risks_by_hand():
+    w, x_p, x_u = np.array([1.0, -0.5]), np.array([[1.0, 1.0]]), np.array([[0.0, 1.0], [2.0, 1.0]])
+    positive, negative = toxicity.risks(w, x_p, x_u, 0.25)
+    assert np.isclose(positive, 0.25 * np.log1p(np.exp(-0.5)))
+    assert np.isclose(negative, (np.log1p(np.exp(-0.5)) + np.log1p(np.exp(1.5))) / 2 - 0.25 * np.log1p(np.exp(0.5)))
+
+
+def test_gradient_of_the_softmax_loss():
+    rng = np.random.default_rng(2)
+    for label in (0, 1):
+        shares, vectors, output = rng.random(4), rng.normal(size=(4, 3)), rng.normal(size=(3, 2))
+
+        def loss(v, o):
+            logits = shares @ v @ o
+            return np.log(np.exp(logits).sum()) - logits[label]
+
+        hidden, error = quality.loss_error(shares, vectors, output, label)
+        assert np.allclose(np.outer(hidden, error), numeric(lambda o: loss(vectors, o), output), atol=1e-7)
+        assert np.allclose(np.outer(shares, output @ error), numeric(lambda v: loss(v, output), vectors), atol=1e-7)
