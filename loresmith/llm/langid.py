@@ -31,7 +31,7 @@ GRAMS = (2, 3, 4)
 EPOCHS = 6
 BATCH = 64
 RATE = 0.05
-CHAIN = 64  # words per chain: a longer text is a row of chains, each labelled by itself
+CHAIN = 64  # words per stretch of a text's chain that is gone through at once with others
 SEED = 11
 UNKNOWN = "und"
 MIN_SCORE = 0.5  # of a document that is kept
@@ -69,16 +69,23 @@ def emissions(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: dic
     return out
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Label probabilities by forward-backward; ``scores`` [chains, words, labels], longest chain first."""
+def marginals(
+    scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None,
+) -> np.ndarray:
+    """Label probabilities by forward-backward; ``scores`` [chains, words, labels], longest chain first.
+
+    ``before`` and ``after`` [chains, labels] are the messages into the first and the last word of stretches of longer chains.
+    """
     steps = scores.shape[1]
     active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(steps)]  # chains with more than t words
     emit = np.exp(scores - scores.max(axis=2, keepdims=True))
     move = np.exp(transitions - transitions.max())
     alpha, beta = np.zeros_like(emit), np.ones_like(emit)
+    if before is not None:
+        beta[np.arange(len(lengths)), lengths - 1] = after
     for t in range(steps):
         n = active[t]
-        alpha[:n, t] = emit[:n, t] if t == 0 else (alpha[:n, t - 1] @ move) * emit[:n, t]
+        alpha[:n, t] = emit[:n, t] * (1.0 if before is None else before[:n]) if t == 0 else (alpha[:n, t - 1] @ move) * emit[:n, t]
         alpha[:n, t] /= alpha[:n, t].sum(axis=1, keepdims=True)
     for t in range(steps - 2, -1, -1):
         n = active[t + 1]
@@ -89,6 +96,37 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
     return np.divide(both, total, out=np.zeros_like(both), where=total > 0)
 
 
+def messages(
+    scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, row: np.ndarray, nth: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Messages into the stretches of longer chains, from the left and from the right.
+
+    Stretch ``nth`` of chain ``row`` turns a message from the left into u @ S, with S = E(1) M E(2) M ... M of its words'
+    scores E and the transitions M, and one from the right into M S' with S' the same without the last M.  The matrices
+    are made for all stretches at once, the messages go from stretch to stretch, for all chains at once.
+    """
+    labels, move = len(transitions), np.exp(transitions - transitions.max())
+    emit = np.exp(scores - scores.max(axis=2, keepdims=True))
+    through = np.repeat(np.eye(labels)[None], len(lengths), axis=0)
+    for t in range(scores.shape[1]):
+        n = int(np.searchsorted(-lengths, -t, "left"))
+        step = through[:n] * emit[:n, t][:, None, :]
+        through[:n] = (step if t == 0 else (through[:n] @ move) * emit[:n, t][:, None, :])
+        through[:n] /= through[:n].sum(axis=(1, 2), keepdims=True)
+    before, after = np.ones((len(lengths), labels)), np.ones((len(lengths), labels))
+    last, place = int(nth.max()), np.full((row.max() + 1, nth.max() + 1), -1)
+    place[row, nth] = np.arange(len(row))
+    for k in range(1, last + 1):
+        here = place[place[:, k] >= 0]
+        sent = np.einsum("ni,nij->nj", before[here[:, k - 1]], through[here[:, k - 1]]) @ move
+        before[here[:, k]] = sent / sent.sum(axis=1, keepdims=True)
+    for k in range(last, 0, -1):
+        here = place[place[:, k] >= 0]
+        sent = np.einsum("nij,nj->ni", through[here[:, k]], after[here[:, k]]) @ move.T
+        after[here[:, k - 1]] = sent / sent.sum(axis=1, keepdims=True)
+    return before, after
+
+
 def pair_marginals(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Expected number of each transition over all chains (for training)."""
     steps, labels = scores.shape[1:]
@@ -204,7 +242,10 @@ def language_model(docs: DataFrame, text: str, doc_id: str, lang: str, per_lang:
 
 
 def shares(texts: pa.Array, model: dict) -> np.ndarray:
-    """Expected share of each language among the words of each text; zeros without words."""
+    """Expected share of each language among the words of each text; zeros without words.
+
+    A text is one chain, gone through in stretches; only a text of more than ``CHUNK_BYTES`` is cut, at that many bytes.
+    """
     labels = len(model["transitions"])
     total, count = np.zeros((len(texts), labels)), np.zeros(len(texts))
     for rows, data, bounds in pieces(texts, WORD_BYTES):
@@ -223,11 +264,12 @@ def shares(texts: pa.Array, model: dict) -> np.ndarray:
         begin = firsts[:-1][row] + nth * CHAIN
         lengths = np.minimum(CHAIN, firsts[1:][row] - begin)
         order = np.argsort(-lengths, kind="stable")
-        row, begin, lengths = row[order], begin[order], lengths[order]
+        row, begin, lengths, nth = row[order], begin[order], lengths[order], nth[order]
         at = begin[:, None] + np.arange(lengths[0])
         inside = np.arange(lengths[0]) < lengths[:, None]
         chained = np.where(inside[:, :, None], scores[which[np.where(inside, at, 0)]], 0.0)
-        found = marginals(chained, lengths, model["transitions"])
+        ends = messages(chained, lengths, model["transitions"], row, nth) if nth.any() else (None, None)
+        found = marginals(chained, lengths, model["transitions"], *ends)
         np.add.at(total, rows[row], (found * inside[:, :, None]).sum(axis=1))
         np.add.at(count, rows, sizes)
     return total / np.maximum(count, 1)[:, None]

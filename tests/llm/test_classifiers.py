@@ -160,6 +160,19 @@ def test_labels_are_thinned_before_they_are_exchanged(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and 200 < n < 600
 
 
+def test_a_text_is_one_chain(monkeypatch):
+    """Stretches of a few words give what the whole chain gives at once, whatever texts lie beside it."""
+    rng = np.random.default_rng(4)
+    model = {"table": rng.normal(size=(1 << langid.BITS, 3)).astype(np.float32), "lexicon": np.zeros((1 << langid.BITS, 3), np.float32),
+             "lexicon_weight": 0.1, "transitions": rng.normal(size=(3, 3)) * 3}
+    texts = pa.array([" ".join(f"w{rng.integers(50)}" for _ in range(n)) for n in (1, 7, 300, 64, 0, 65, 128, 1000)])
+    monkeypatch.setattr(langid, "CHAIN", 10**6)
+    whole = langid.shares(texts, model)
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "CHAIN", size)
+        assert np.allclose(langid.shares(texts, model), whole, atol=1e-9)
+
+
 def numeric(loss, at, step=1e-6):
     """Central differences of a loss by every entry of an array."""
     out = np.zeros_like(at)
