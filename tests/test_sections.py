@@ -156,3 +156,15 @@ def test_card_search(spark):
     assert cards.filter_cards(rows, card_type="전체", source_file_name="f.md").count() == 2
     stats = {(r["facet"], r["name"]): r["n"] for r in cards.card_stats(rows).collect()}
     assert stats[("total", "all")] == 2 and stats[("primary_topic", "unknown")] == 1
+
+
+def test_long_chat_with_a_divider_before_every_message(spark):
+    """The last divider is found in one pass: a file of many dividers is as quick, message for message, as a short one."""
+    lines = ["[이수] [오전 9:00] before any divider"]
+    for i in range(12_000):
+        lines += [f"--------------- 2026년 4월 {i % 28 + 1}일 ---------------", f"[이수] [오전 9:{i % 60:02d}] message {i}"]
+    files = spark.createDataFrame([("d", "\n".join(lines))], "document_id string, text string")
+    got = sections.chat_export_messages(files).select("msg_no", "date_section", "message").collect()
+    days = {r["msg_no"]: r["date_section"] for r in got}
+    assert len(days) == 12_001 and not days[0]
+    assert len(set(days.values())) == 29 and days[1] == days[29] != days[2]
