@@ -24,7 +24,7 @@ from loresmith import vocab
 from loresmith.config import ChunkConfig, PrivacyPolicy
 from loresmith.functions import dates, hashing, privacy, text
 from loresmith.functions.lookup import lookup, matching_tags
-from loresmith.operators import chunking
+from loresmith.operators import chunking, dictionary
 from loresmith.session import spread
 
 REG = Registry()
@@ -385,6 +385,51 @@ def p12_detect_topic_tags(spark, sf):
     )
 
 
+# The words of the benchmark items, alone and in pairs, as a dictionary of twelve tags.
+SQL_KEYWORDS = """w AS (SELECT item_id, string_split(lower(text), ' ') AS ws FROM benchmark),
+dictionary AS (
+  SELECT DISTINCT 'topic' || item_id % 12 AS tag, item_id % 12 AS tag_no, keyword
+  FROM (SELECT item_id, unnest(ws) AS keyword FROM w
+        UNION ALL
+        SELECT item_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT item_id, ws, unnest(range(1, len(ws))) AS i FROM w))
+  WHERE keyword <> '')"""
+
+
+def keyword_table(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id") % 12, F.split(F.lower("text"), " ")).toDF("tag_no", "ws")
+    pairs = F.zip_with("ws", F.slice("ws", 2, F.size("ws")), lambda a, b: F.concat(a, F.lit(" "), b))
+    keywords = F.explode(F.concat("ws", F.filter(pairs, lambda p: p.isNotNull())))
+    return items.select("tag_no", F.concat(F.lit("topic"), "tag_no").alias("tag"), keywords.alias("keyword")).distinct()
+
+
+@REG.add(
+    "p12_tags_by_table",
+    f"""WITH {SQL_KEYWORDS},
+        tags AS (SELECT DISTINCT doc_id, tag_no, tag FROM documents JOIN dictionary ON contains(lower(text), keyword))
+        SELECT d.doc_id, coalesce(string_agg(tag, ',' ORDER BY tag_no), '') AS tags, coalesce(arg_min(tag, tag_no), '-') AS primary_topic
+        FROM documents d LEFT JOIN tags USING (doc_id) GROUP BY d.doc_id""",
+)
+def p12_tags_by_table(spark, sf):
+    texts = docs(spark, sf, "text").select(F.col("doc_id").alias("text_id"), "text")
+    found = dictionary.tags_in(texts, keyword_table(spark, sf))
+    return found.select(
+        F.col("text_id").alias("doc_id"), F.array_join("tags", ",").alias("tags"),
+        F.coalesce(F.get("tags", F.lit(0)), F.lit("-")).alias("primary_topic"),
+    )
+
+
+@REG.add(
+    "p12_keywords_by_table",
+    f"""WITH {SQL_KEYWORDS}
+        SELECT doc_id, count(DISTINCT keyword) AS n_keywords, md5(string_agg(DISTINCT keyword, '|' ORDER BY keyword)) AS keywords_md5
+        FROM documents JOIN dictionary ON contains(lower(text), keyword) GROUP BY doc_id""",
+)
+def p12_keywords_by_table(spark, sf):
+    texts = docs(spark, sf, "text").select(F.col("doc_id").alias("text_id"), "text")
+    found = dictionary.keywords_in(texts, keyword_table(spark, sf)).groupBy("text_id").agg(F.sort_array(F.collect_list("keyword")).alias("k"))
+    return found.select(F.col("text_id").alias("doc_id"), F.size("k").cast("long").alias("n_keywords"), F.md5(F.array_join("k", "|")).alias("keywords_md5"))
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------------------
 SQL_HARD = """pieces AS (
   SELECT doc_id, i AS piece_no, substr(text, i * 1000 + 1, 1200) AS piece
