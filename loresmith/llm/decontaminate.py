@@ -141,6 +141,18 @@ def held_items(text: str, items: list[tuple[int, str]]) -> list[tuple[int, int,
     return out
 
 
+def _asked_values(sketches: DataFrame, held: DataFrame) -> DataFrame:
+    """(item, need, sketch): each item's sketch with the values that the fewest documents hold first.
+
+    A document with ``need`` of k values has one of any k - need + 1, so the rarest of them are enough to find it: a stem that
+    thousands of items and millions of documents share is looked up only for items that are hardly more than that stem.
+    """
+    counts = held.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    rated = sketches.join(counts, "value", "left").select("item", "need", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "value").alias("rated"))
+    ordered = rated.groupBy("item").agg(F.first("need").alias("need"), F.sort_array(F.collect_list("rated")).alias("rated"))
+    return ordered.select("item", "need", F.transform("rated", lambda x: x["value"]).alias("sketch"))
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([
     T.StructField("i", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("held", T.IntegerType())])))
 def _verified(texts: pa.Array, items: pa.Array) -> pa.Array:
@@ -161,13 +173,15 @@ def _matches(
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_of(docs, text)).alias("th"), text_of(docs, text).alias("text"))
     held = _probed(rows, widths, bitmap).withColumn("row", F.monotonically_increasing_id())
     held = written(held, "probed")  # numbered once: the numbers are read, never made again
-    seen = held.select("row", F.explode("values").alias("value")).join(sketches, "value")
-    pairs = seen.groupBy("row", "item").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
-    texts = _items(items, item_text, item_id).withColumnRenamed("text", "item_text")
-    # A document's candidate items share most of their shingles with it, so the list is bounded by the document.
-    listed = pairs.select("row", "item").join(texts, "item").groupBy("row").agg(
-        F.collect_list(F.struct("item", "item_text")).alias("items"))
-    both = held.select("row", "id", "th", "text").join(listed, "row")
+    asked = written(_asked_values(sketches, held), "asked-values")
+    prefix = asked.select("item", F.explode(F.slice("sketch", 1, F.size("sketch") - F.col("need") + 1)).alias("value"))
+    pairs = held.select("row", F.explode("values").alias("value")).join(prefix, "value").select("row", "item").distinct()
+    texts = _items(items, item_text, item_id).withColumnRenamed("text", "item_text").join(asked, "item")
+    listed = pairs.join(texts, "item").groupBy("row").agg(
+        F.collect_list(F.struct("item", "item_text", "sketch", "need")).alias("items"))
+    # Items of which the document has enough values share most of their shingles with it.
+    enough = F.filter("items", lambda x: F.size(F.array_intersect("values", x["sketch"])) >= x["need"])
+    both = held.select("row", "id", "th", "text", "values").join(listed, "row").withColumn("items", enough).where("size(items) > 0")
     checked = both.select("id", "th", "items", _verified("text", F.transform("items", lambda x: x["item_text"])).alias("found"))
     flat = checked.select("id", "th", "items", F.explode("found").alias("f")).where(
         F.col("f.held") >= F.ceil(F.round(F.col("f.n") * threshold, 9)))

@@ -57,6 +57,22 @@ def test_pairs_against_brute_force(spark, make_docs):
     assert left.columns == make_docs([(1, "")]).columns
 
 
+def test_items_of_one_stem_are_found_by_what_is_their_own(spark, make_docs):
+    rng = random.Random(5)
+    stem = " ".join(f"stem{i}" for i in range(9))
+    items = [(i, stem + " " + " ".join(f"own{i}x{j}" for j in range(12))) for i in range(40)]
+    docs = [(i, "before " + stem + " after " + " ".join(f"d{rng.randrange(500)}" for _ in range(60))) for i in range(200)]
+    docs += [(1000 + i, "so it is: " + items[i][1] + " and so on") for i in range(5)]
+    given = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r)[:4] for r in decontaminate.contaminated(make_docs(docs), given).collect()}
+    assert got == brute(docs, items) and len(got) == 5
+    sketches = decontaminate.item_sketches(given, "text", "item_id", 0.8).cache()
+    values = {v for (v,) in sketches.where("item.id = 0").select("value").collect()}
+    held = spark.createDataFrame([(i, sorted(values)[:3]) for i in range(4)], "row long, values array<long>")
+    asked = decontaminate._asked_values(sketches, held).where("item.id = 0").first()
+    assert set(asked["sketch"]) == values and asked["sketch"][-3:] == sorted(values)[:3]  # the held ones come last
+
+
 def test_empty_tables(spark, make_docs):
     docs, items = make_docs([(1, "a b c")]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.contaminated(docs, items).count() == 1
