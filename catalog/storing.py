@@ -409,6 +409,22 @@ def x1_bucketed_ingest(spark, sf):
     return ingest_states(spark.read.parquet(f"{target}/log"), chunks.read())
 
 
+@REG.add(
+    "g3_ingest_totals",
+    f"""WITH states AS ({SQL_INGEST_STATES})
+        SELECT sum(files)::BIGINT AS total, coalesce(sum(files) FILTER (status = 'indexed'), 0)::BIGINT AS indexed,
+               coalesce(sum(files) FILTER (status = 'skipped'), 0)::BIGINT AS skipped, 0::BIGINT AS failed, true AS as_the_log
+        FROM states""",
+)
+def g3_ingest_totals(spark, sf):
+    """Counters that the batches took while they wrote, against the summary of the whole log."""
+    target = ingested_twice(spark, sf)
+    totals = streams.ingest_totals(spark, target)
+    log = reg.ingest_summary(spark.read.parquet(f"{target}/log")).select(F.struct("*").alias("log"))
+    both = totals.select("*", F.struct(*totals.columns).alias("counted"), log.scalar().alias("log"))
+    return both.select("total", "indexed", "skipped", "failed", (F.col("counted") == F.col("log")).alias("as_the_log"))
+
+
 def chunk_schema(spark: SparkSession):
     """Schema of ingested chunks."""
     none = spark.createDataFrame([], streams.FILE_SCHEMA)

@@ -57,15 +57,19 @@ def merge_summaries(registry: DataFrame, summaries: DataFrame) -> DataFrame:
     ).drop("_found")
 
 
+def summary_counts() -> dict[str, Column]:
+    """The aggregates of an ingest log: files by status and chunks added."""
+    status = F.col("status")
+    return {
+        "total": F.count("*"),
+        **{name: F.count_if(status == name) for name in ("indexed", "skipped", "failed")},
+        "chunks_added": F.coalesce(F.sum(F.when(status == "indexed", F.col("chunks_added"))), F.lit(0)),
+    }
+
+
 def ingest_summary(log: DataFrame) -> DataFrame:
     """One row: files by status and chunks added."""
-    return log.agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("status") == "indexed").alias("indexed"),
-        F.count_if(F.col("status") == "skipped").alias("skipped"),
-        F.count_if(F.col("status") == "failed").alias("failed"),
-        F.coalesce(F.sum(F.when(F.col("status") == "indexed", F.col("chunks_added"))), F.lit(0)).alias("chunks_added"),
-    )
+    return log.agg(*[c.alias(name) for name, c in summary_counts().items()])
 
 
 def embedding_input() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_counted(df: DataFrame, name: str, counts: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``written``, with aggregates of the rows taken while they are written, so that the table is not read for them.
+
+    They are observed in the stage that writes, where a task that is run again counts once.
+    """
+    spark, seen = df.sparkSession, Observation()
+    path = scratch_dir(spark, name)
+    df.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an input with fewer splits than cores (a small file is one row group, so one task).
 

@@ -55,6 +55,9 @@ def test_incremental_ingest_twice(spark, tmp_path):
     streams.incremental_ingest(spark, root, target, str(tmp_path / "cp2"), 2026).awaitTermination()
     spark.catalog.refreshByPath(f"{target}/chunks")
     assert spark.read.parquet(f"{target}/chunks").count() == once + 1
+    counted = streams.ingest_totals(spark, target).first()
+    assert counted == reg.ingest_summary(spark.read.parquet(f"{target}/log")).first()
+    assert counted.asDict() == {"total": 15, "indexed": 6, "skipped": 9, "failed": 0, "chunks_added": once + 1}
     assert spark.read.parquet(f"{target}/registry").select("file_hash").distinct().count() == 6
 
 
@@ -85,8 +88,17 @@ def test_replayed_batch_adds_nothing(spark, tmp_path):
     sizes = []
     for _ in range(2):
         streams.ingest_batch(files.read_files(spark, root), 0, root, target, 2026, streams.CATEGORY_FOLDERS, "r")
-        sizes.append(tuple(spark.read.parquet(f"{target}/{t}").count() for t in ("chunks", "registry", "log")))
-    assert sizes[0] == sizes[1]
+        sizes.append(tuple(spark.read.parquet(f"{target}/{t}").count() for t in ("chunks", "registry", "log", "batches/*")))
+        assert streams.ingest_totals(spark, target).first() == reg.ingest_summary(spark.read.parquet(f"{target}/log")).first()
+    assert sizes[0] == sizes[1] and sizes[0][-1] == 1
+
+
+def test_counters_of_a_batch_without_files(spark, tmp_path):
+    root, target = tree(tmp_path), str(tmp_path / "kb")
+    streams.ensure_table(spark, f"{target}/registry", streams.REGISTRY_SCHEMA)
+    streams.ensure_table(spark, f"{target}/log", streams.LOG_SCHEMA)
+    streams.ingest_batch(files.read_files(spark, root).limit(0), 7, root, target, 2026, streams.CATEGORY_FOLDERS, "r")
+    assert streams.batch_counters(spark, target).collect() == [("r", 7, 0, 0, 0, 0, 0)]
 
 
 def test_question_stream_gates_and_cleans(spark, tmp_path):
