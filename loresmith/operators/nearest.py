@@ -1,4 +1,4 @@
-"""Nearest vectors for a table of query vectors: exact, and by a scan of quantized vectors with exact scores for the best."""
+"""Nearest vectors for a table of query vectors: exact, and by a scan of quantized vectors with exact scores for all that may be best."""
 
 from __future__ import annotations
 
@@ -21,17 +21,20 @@ SLICE_ROWS = 65_536
 STRIPE_QUERIES, STRIPE_ROWS = 512, 8_192  # the largest matrix of similarities
 PLACES = 1e9  # similarities that agree in nine decimals are ties
 LEVELS = 127  # of a quantized component
-FURTHER = 1.4  # quantized candidates per wanted row that are scored exactly
+FURTHER = 1.4  # rows per wanted one whose bounds decide which quantized candidates are scored exactly
 
 
 def _codes(df: DataFrame) -> DataFrame:
-    """``vector`` as one byte per component, with the ``scale`` that turns the codes into a unit vector."""
+    """``vector`` as one byte per component, with the ``scale`` that turns the codes into a unit vector, and how far off that is."""
     v = F.col("vector")
     largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     codes = F.transform(v, lambda x: F.coalesce(F.round(x.cast("double") / F.nullif(largest, F.lit(0.0)) * LEVELS), F.lit(0.0)).cast("tinyint"))
     scale = F.coalesce(largest / (length * LEVELS), F.lit(0.0))
-    return df.withColumns({"scale": F.when(length > 0, scale).otherwise(0.0), "vector": codes})
+    coded = df.withColumns({"unit": v, "length": length, "scale": F.when(length > 0, scale).otherwise(0.0), "vector": codes})
+    off = F.zip_with("unit", "vector", lambda x, c: x.cast("double") / F.col("length") - c * F.col("scale"))
+    error = F.coalesce(F.sqrt(F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)), F.lit(0.0))
+    return coded.withColumn("error", F.when(F.col("length") > 0, error).otherwise(0.0)).drop("unit", "length")
 
 
 def unit_rows(table: pa.Table) -> np.ndarray:
@@ -65,6 +68,29 @@ def _best(q: np.ndarray, c: np.ndarray, order: np.ndarray, k: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _within(
+    q: np.ndarray, c: np.ndarray, order: np.ndarray, k: int, off_q: np.ndarray, off_c: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) of all rows that can be among a query's k best, by how far the rows may be off."""
+    found = []
+    for a in range(0, len(q), STRIPE_QUERIES):
+        left, off = q[a : a + STRIPE_QUERIES], off_q[a : a + STRIPE_QUERIES, None]
+        least, bar, held = np.zeros((len(left), 0)), np.full(len(left), -np.inf), []
+        for b in range(0, len(c), STRIPE_ROWS):
+            near = left @ c[b : b + STRIPE_ROWS].T
+            error = off + (1 + off) * off_c[None, b : b + STRIPE_ROWS] + 2 / PLACES
+            least = np.concatenate([least, near - error], axis=1)
+            if least.shape[1] >= k:
+                least = -np.partition(-least, k - 1, axis=1)[:, :k]
+                bar = least.min(axis=1)
+            row, at = np.nonzero(near + error >= bar[:, None])
+            held.append((row, at + b, near[row, at], (near + error)[row, at]))
+        row, at, near, most = (np.concatenate(x) for x in zip(*held))
+        stays = most >= bar[row]
+        found.append((row[stays] + a, at[stays], near[stays]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _meet(asked: pa.Table, given: pa.Table, k: int, best: Callable) -> pa.Table:
     if not asked.num_rows or not given.num_rows:
         a = b = np.zeros(0, np.int64)
@@ -73,6 +99,8 @@ def _meet(asked: pa.Table, given: pa.Table, k: int, best: Callable) -> pa.Table:
         ids = given.column("chunk_id").combine_chunks()
         order = np.empty(len(ids), np.int64)
         order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        if "error" in asked.column_names:
+            best = partial(_within, off_q=asked.column("error").to_numpy(), off_c=given.column("error").to_numpy())
         a, b, score = best(unit_rows(asked), unit_rows(given), order, k)
     take = lambda t, name, at: t.column(name).combine_chunks().take(pa.array(at, pa.int64()))
     return pa.table({
@@ -128,9 +156,11 @@ def vector_topk(
 
 
 def vector_candidates_approx(queries: DataFrame, vectors: DataFrame, k: int, further: float = FURTHER) -> DataFrame:
-    """(query_id, chunk_id): the ``further * k`` best of each query by quantized vectors, an eighth of the size."""
-    many = math.ceil(further * k)
-    found = ranked(meet_in_slices(queries, vectors, many, QUERY_BLOCK, SLICE_ROWS, quantized=True), many)
+    """(query_id, chunk_id): the rows that can be among a slice's ``further * k`` best by quantized vectors, an eighth of the size.
+
+    How far a quantized vector is off bounds its similarities, so none of the best k is missed.
+    """
+    found = meet_in_slices(queries, vectors, math.ceil(further * k), QUERY_BLOCK, SLICE_ROWS, quantized=True)
     return written(found.select("query_id", "chunk_id"), "near")
 
 
