@@ -21,7 +21,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word Jaccard 0.8 or more stays: the one with the smallest id."""
+    """One document of each component of five-word Jaccard 0.8 or more stays: the one with the smallest id.
+
+    Candidates are the pairs that ``simhash`` (op2) links by fingerprints of five-word shingles, and pairs by MinHash beyond its two bits.
+    """
     return near_copies.keep_first(docs)
 
 

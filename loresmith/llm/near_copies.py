@@ -1,4 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets verify them.
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash bands find candidates, whole shingle sets verify them.
+
+Texts whose SimHash fingerprints lie within two bits are candidates by ``simhash.links``, which finds the nearly exact copies.  Pairs
+at the threshold lie up to 17 bits apart, where no segments with small balls meet; those are found as follows.
 
 A text's signature is 24 bands of four minima.  Two texts share a band with probability J ** 4, so a pair at J = 0.8 is met
 in some band but for 3 in a million.  Texts of a small bucket are compared pairwise.  For the texts of full buckets, say the
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loresmith.llm import simhash
 from loresmith.llm.bytesweep import BASE, LOWER, byte_class, chunks, mixed, shingle_hashes, word_hashes
 from loresmith.llm.common import bounded_batches, text_of
 from loresmith.llm.components import components
@@ -66,17 +70,31 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(docs: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """(id, text_hash, keys) per row, written."""
+    """(id, text_hash, keys, fp) per row, written."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def keys(texts: pa.Array) -> pa.Array:
         return pa.array([band_keys(h) for h in shingled(texts, width)], pa.list_(pa.int64()))
 
     body = text_of(docs, text)
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), keys(body).alias("keys"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), keys(body).alias("keys"),
+                       simhash.fingerprint_of(body, width).alias("fp"))
     return written(rows, "signed")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the texts (text_hash, fp) whose fingerprints are linked, written.
+
+    Texts of one fingerprint are paired with the smallest of them, those of linked fingerprints by their smallest.
+    """
+    heads = written(nodes.groupBy("fp").agg(F.min("text_hash").alias("th"), F.count("*").alias("n")), "fingerprints")
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("th").alias(f"t{side}"))
+    linked = simhash.links(heads.select("fp")).join(of("a"), "a").join(of("b"), "b").select(*_ordered(F.col("ta"), F.col("tb")))
+    shared = broadcast_if_small(heads.where("n > 1").select("fp", "th"))
+    equal = nodes.join(shared, "fp").where("text_hash <> th").select(*_ordered(F.col("th"), F.col("text_hash")))
+    return written(linked.union(equal).distinct(), "simhash-pairs")
+
+
 def _verified(pairs: DataFrame, held: DataFrame, width: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts have a Jaccard similarity of ``threshold`` or more."""
 
@@ -186,14 +204,16 @@ def _components(
     docs: DataFrame, rows: DataFrame, width: int, threshold: float, text: str, bucket_max: int, rare_max: int, rounds: int,
 ) -> DataFrame:
     """(node, root) for every text hash that has a near copy."""
-    nodes = rows.select("text_hash", "keys").dropDuplicates(["text_hash"])
+    nodes = rows.select("text_hash", "keys", "fp").dropDuplicates(["text_hash"])
+    close = _simhash_pairs(nodes.select("text_hash", "fp"))
     entries = nodes.select(F.col("text_hash").alias("th"), F.explode("keys").alias("key"))
     buckets = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = written(entries.join(broadcast_if_small(buckets), "key"), "members")
-    met = broadcast_if_small(written(members.select("th").distinct(), "met"))
+    found = members.select("th").union(close.select("a")).union(close.select("b"))
+    met = broadcast_if_small(written(found.distinct(), "met"))
     body = text_of(docs, text)
     held = docs.select(F.xxhash64(body).alias("th"), body.alias("text")).join(met, "th", "left_semi").dropDuplicates(["th"])
-    held, wanted = written(held, "held"), _pairs_in(members.where(F.col("n") <= bucket_max), "key")
+    held, wanted = written(held, "held"), close.union(_pairs_in(members.where(F.col("n") <= bucket_max), "key")).distinct()
     full = written(members.where(F.col("n") > bucket_max), "full")
     if full.isEmpty():
         return components(_verified(written(wanted, "candidates"), held, width, threshold))
@@ -226,8 +246,8 @@ def keep_first(
     """Rows of ``docs`` with one row of each near-copy component: the smallest (id, hash of the text), nulls first.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space.  Two texts are linked if their distinct shingles of
-    ``width`` words have a Jaccard similarity of ``threshold`` or more, by 64-bit hashes of the shingles; candidates are
-    described above.  Shorter texts are one shingle; texts without words are equal.  Rows that repeat in id and text are one
+    ``width`` words have a Jaccard similarity of ``threshold`` or more, by 64-bit hashes of the shingles; candidates, by SimHash
+    and by MinHash, are described above.  Shorter texts are one shingle; texts without words are equal.  Rows that repeat in id and text are one
     document and are reduced to one row.  Columns stay as they are.
     """
     bounded_batches(docs.sparkSession)

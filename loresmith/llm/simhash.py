@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ def _pieces(text: bytes):
         start = end
 
 
-def fingerprint(text: str) -> int:
-    """SimHash of one text, as a signed 64-bit number."""
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """SimHash of one text by its shingles of ``width`` (two or more) words, as a signed 64-bit number."""
     digest, join, ones, total, carry = xxhash.xxh64_intdigest, b" ".join, np.zeros(BITS, np.int64), 0, []
 
     def add(shingles):
@@ -51,24 +51,29 @@ def fingerprint(text: str) -> int:
 
     for words in _pieces(text.encode("utf-8").lower()):
         words = carry + words
-        if len(words) >= SHINGLE:
-            add(map(join, zip(*(words[k:] for k in range(SHINGLE)))))
-        carry = words[-(SHINGLE - 1):]
+        if len(words) >= width:
+            add(map(join, zip(*(words[k:] for k in range(width)))))
+        carry = words[-(width - 1):]
     if not total and carry:
         add([join(carry)])
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.dtype("<i8"))[0])
 
 
-@F.arrow_udf(T.LongType())
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array((fingerprint(t.as_py() or "") for t in texts), pa.int64())
+def fingerprint_of(body: Column, width: int = SHINGLE) -> Column:
+    """``fingerprint`` as a column."""
+
+    @F.arrow_udf(T.LongType())
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array((fingerprint(t.as_py() or "", width) for t in texts), pa.int64())
+
+    return of(body)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, text_hash, fp) per row, written: the only pass over the texts."""
     bounded_batches(docs.sparkSession)
     body = text_of(docs, text)
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), _fingerprints(body).alias("fp"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), fingerprint_of(body).alias("fp"))
     return written(rows, "fingerprints")
 
 

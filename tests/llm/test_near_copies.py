@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loresmith.llm import near_copies
+from loresmith.llm import near_copies, simhash
 
 
 def brute(rows):
@@ -99,6 +99,21 @@ def test_stage_drops_copies_beyond_two_bits(spark):
     assert kept == brute(rows) and not {145, 177} & set(kept)
 
 
+def test_simhash_links_are_candidates(spark, make_docs, monkeypatch):
+    """Without any pair by MinHash, texts within two bits are still linked, if their shingles say so."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(varied(rng, words, 1)))]
+    rows += [(500, "a b a b a b a b a b"), (501, "b a b a b a b a b a")]  # the same two shingles, in different numbers or places
+    near = {a for a, text in rows[:80:2] if (simhash.fingerprint(text, 5) ^ simhash.fingerprint(rows[a + 1][1], 5)).bit_count() <= 2}
+    assert 5 < len(near) < 40
+    monkeypatch.setattr(near_copies, "_pairs_in", lambda members, key: members.sparkSession.createDataFrame([], "a long, b long"))
+    kept = {r["doc_id"] for r in near_copies.keep_first(make_docs(rows)).collect()}
+    assert {a for a in range(0, 80, 2) if a + 1 not in kept} == near and 500 in kept and 501 not in kept
+
+
 def test_keys_do_not_depend_on_blocks(monkeypatch):
     hashes = next(near_copies.shingled(pa.array([" ".join(f"w{i}" for i in range(1000))]), 5))
     whole = near_copies.band_keys(hashes)
