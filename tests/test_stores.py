@@ -158,3 +158,13 @@ def test_json_chunks_skip_broken_lines(spark, tmp_path):
     with open(f"{path}/uploaded_category=guide/bad.json", "w") as f:
         f.write('{"chunk_id": "no')
     assert [tuple(r) for r in stores.read_chunks(spark, path, df.schema, "json").select(*df.columns).collect()] == [(1, "guide", "x")]
+
+
+def test_a_batch_without_new_files_cuts_nothing(spark, tmp_path, monkeypatch):
+    root, target = tree(tmp_path), str(tmp_path / "kb")
+    streams.incremental_ingest(spark, root, target, str(tmp_path / "cp1"), 2026).awaitTermination()
+    monkeypatch.setattr(streams, "ingest_documents", lambda *_: 1 / 0)
+    streams.incremental_ingest(spark, root, target, str(tmp_path / "cp2"), 2026).awaitTermination()
+    spark.catalog.refreshByPath(f"{target}/log")
+    log = spark.read.parquet(f"{target}/log")
+    assert log.where("run = 'cp2'").select("status").distinct().collect() == [("skipped",)] and log.count() == 14
