@@ -146,9 +146,12 @@ class Search:
 
 
 def start_search(wanted: DataFrame, index: BlockIndex, cfg: RetrievalConfig = RETRIEVAL) -> Search:
-    """``wanted`` holds (query_id, term)."""
+    """``wanted`` holds (query_id, term).  The parts of the index that any step may look at are those of known terms, written once."""
     terms = index.terms_among(wanted.select("term").distinct())
     weighted = written(wanted.join(terms.select("term", "idf", "avgdl"), "term"), "asked-terms")
+    asked = broadcast_if_small(weighted.select("term").distinct())
+    index = replace(index, **{
+        name: written(getattr(index, name).join(asked, "term", "left_semi"), f"asked-{name}") for name in ("postings", "blocks")})
     search = Search(index, cfg, weighted, weighted)
     return replace(search, bounds=written(
         search.block_terms().groupBy("query_id", "block").agg(F.sum("bound").alias("bound")), "query-blocks"))
